@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .substring import op1_substring
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op4_bpe": op4_bpe,
 }
 
