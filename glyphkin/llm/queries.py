@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .chat import op3_chat
 from .substring import op1_substring
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
 }
 
