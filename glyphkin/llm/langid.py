@@ -109,6 +109,9 @@ def split_by_size(texts: list[str], limit: int = BATCH_CHARS):
 def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schema: str, score: Callable[[list[str]], tuple[list, ...]]) -> DataFrame:
     """(id, extra..., what score returns) for each row; null texts are empty."""
     names = [id_col, *extra]
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+    kinds = [arrow[kind] for _, kind in fields]
 
     def run(batches):
         for b in batches:
@@ -120,10 +123,9 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
                 for o, g in zip(out, got):
                     o.extend(g)
             if out:
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *map(pa.array, out)], [*names, *(f"c{i}" for i in range(len(out)))])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(o, kinds[i]) for i, o in enumerate(out))], [*names, *(f"c{i}" for i in range(len(out)))])
 
     # columns are matched by name, so the map uses plain names and they are renamed afterwards
-    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     inner = ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])
     mapped = df.select(*names, text_col).mapInArrow(run, inner)
     return mapped.select(*names, *(F.col(f"c{i}").alias(name) for i, (name, _) in enumerate(fields)))

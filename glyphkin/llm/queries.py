@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .chat import op3_chat
+from .langid import op6_langid
 from .substring import op1_substring
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_substring": op1_substring,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op6_langid": op6_langid,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}
