@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .chat import op3_chat
+from .html import op5_html
 from .langid import op6_langid
 from .substring import op1_substring
 from .toxicity import op8_toxicity
+from .warc import op10_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op5_html": op5_html,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        g AS (SELECT payload_digest AS d, max(page_id) AS top FROM h WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM h LEFT JOIN g ON payload_digest = d""",
+}
