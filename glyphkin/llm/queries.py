@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .chat import op3_chat
+from .embeddings import op2_embeddings
 from .html import op5_html
 from .langid import op6_langid
 from .substring import op1_substring
@@ -12,6 +13,7 @@ from .warc import op10_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_embeddings": op2_embeddings,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_html": op5_html,
