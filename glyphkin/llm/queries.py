@@ -7,6 +7,7 @@ from .chat import op3_chat
 from .embeddings import op2_embeddings
 from .html import op5_html
 from .langid import op6_langid
+from .ngrams import op7_ngrams
 from .substring import op1_substring
 from .toxicity import op8_toxicity
 from .warc import op10_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_html": op5_html,
     "op6_langid": op6_langid,
+    "op7_ngrams": op7_ngrams,
     "op8_toxicity": op8_toxicity,
     "op10_warc": op10_warc,
 }
