@@ -108,7 +108,7 @@ def split_by_size(texts: list[str], limit: int = BATCH_CHARS):
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schema: str, score: Callable[[list[str]], tuple[list, ...]]) -> DataFrame:
-    """(id, extra..., what score returns) for each row; null texts are empty."""
+    """(id, extra..., what score returns) for each row; null texts are empty. The text may be among extra."""
     names = [id_col, *extra]
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
@@ -128,7 +128,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
 
     # columns are matched by name, so the map uses plain names and they are renamed afterwards
     inner = ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])
-    mapped = df.select(*names, text_col).mapInArrow(run, inner)
+    mapped = df.select(*names, *([] if text_col in names else [text_col])).mapInArrow(run, inner)
     return mapped.select(*names, *(F.col(f"c{i}").alias(name) for i, (name, _) in enumerate(fields)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .chat import op3_chat
+from .decontam import op9_decontam
 from .embeddings import op2_embeddings
 from .html import op5_html
 from .langid import op6_langid
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_ngrams": op7_ngrams,
     "op8_toxicity": op8_toxicity,
+    "op9_decontam": op9_decontam,
     "op10_warc": op10_warc,
 }
 
