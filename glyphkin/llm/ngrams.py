@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Words, ensure_checkpoint_dir, runs, separators, stored, table
 from .components import components
-from .substring import CHUNK_BYTES, PACKED, TO_BUCKET, by_bucket, chunks_for, deal, pack, undeal, unpack
+from .substring import CHUNK_BYTES, PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, deal, pack, undeal, unpack
 
 N, PERCENT = 5, 75
 #: n-grams in one task of the join, and in a block of a large group.
@@ -237,6 +237,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
     reps = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("id")).filter(F.col("id").isNotNull())
     chunks = chunks_for(rows, "text", chunk_bytes)
+    buckets = buckets_for(chunks)
     reps = stored(reps.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))))
     dealt = deal(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), "id", chunks)
 
@@ -244,7 +245,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         _, texts = _class_rows(t, mine)
         s = Sets(texts, n)
         keys, at = s.keys[s.start], s.start
-        return by_bucket(t.column("chunk")[0].as_py(), keys, at, chunks, (keys, 5), (np.minimum(s.count, 65535), 2))
+        return by_bucket(t.column("chunk")[0].as_py(), keys, at, buckets, (keys, 5), (np.minimum(s.count, 65535), 2))
 
     held = dealt.groupBy("chunk").cogroup(reps.groupBy("chunk"))
     shared = count_shared(held.applyInArrow(first, TO_BUCKET))

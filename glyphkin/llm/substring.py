@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import Words, runs, table
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 PACKED = "chunk long, payload binary"
 TO_BUCKET = "bucket long, chunk long, payload binary"
 
@@ -35,6 +35,11 @@ def chunks_for(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) ->
     return max(1, -(-total // chunk_bytes))
 
 
+def buckets_for(n_chunks: int) -> int:
+    """Hash buckets for so many chunks: a bucket gets entries of 6 bytes a word, a chunk whole texts."""
+    return max(1, -(-n_chunks // 2))
+
+
 def deal(df: DataFrame, id_col: str, n_chunks: int) -> DataFrame:
     """(chunk, payload): whole rows, by a hash of the id, as compressed Arrow streams."""
     keyed = df.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)))
@@ -192,13 +197,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = (window + 1) // 2
     n = chunks_for(docs, text_col, chunk_bytes)
     dealt = deal(docs, id_col, n)
+    buckets = buckets_for(n)
 
     def probe(t: pa.Table) -> pa.Table:
         words = Words(undeal(t.column("payload"), id_col, text_col).column(text_col).to_pylist())
         groups, keys, aligned = _blocks(words, block)
         order = np.argsort(groups.rep, kind="stable")
         at = groups.rep[order]
-        return by_bucket(t.column("chunk")[0].as_py(), keys[at], at, n, (keys[at], 5), (aligned[order], 0))
+        return by_bucket(t.column("chunk")[0].as_py(), keys[at], at, buckets, (keys[at], 5), (aligned[order], 0))
 
     hits = find_shared(dealt.groupBy("chunk").applyInArrow(probe, TO_BUCKET), (5, 0), flagged=True)
 
@@ -213,7 +219,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = at[near[at + window - block + 1] > near[at]]
         first, second = words.grams(window), words.grams(window, lane=1)
         at = np.sort(Groups(first[at], at).rep)
-        return by_bucket(t.column("chunk")[0].as_py(), first[at], at, n, (first[at], 5), (second[at], 7))
+        return by_bucket(t.column("chunk")[0].as_py(), first[at], at, buckets, (first[at], 5), (second[at], 7))
 
     longer = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, TO_BUCKET)
     repeats = find_shared(longer, (5, 7), flagged=False)
