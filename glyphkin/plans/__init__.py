@@ -1 +1,6 @@
+"""Queries over the driver's tables, one or more for each operator."""
 
+from . import scoring_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
