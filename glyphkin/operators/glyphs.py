@@ -22,7 +22,7 @@ def suppressed(detections: DataFrame, key: list[str], over: float, near: float =
     """
     kinds = ", ".join(f"`{k}` {detections.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(keys, page: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("idx")
         polygons, scores = np.stack(page["polygon"].to_numpy()), page["score"].to_numpy()
         if soft is None:
@@ -41,7 +41,7 @@ def suppressed_with_classes(detections: DataFrame, key: list[str], over: float,
     """As suppressed, with the class scores (array) merged alike."""
     kinds = ", ".join(f"`{k}` {detections.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(keys, page: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("idx")
         kept, merged, classes = boxes.suppress(np.stack(page["polygon"].to_numpy()), page["score"].to_numpy(), over, near, floor, least, np.stack(page["classes"].to_numpy()))
         out = pd.DataFrame({"idx": page["idx"].to_numpy()[kept], "polygon": list(merged), "score": page["score"].to_numpy()[kept], "classes": list(classes)})
@@ -132,6 +132,8 @@ def process_pages(pages: DataFrame, window: tuple[int, int] = (512, 512), step:
                 out = pd.DataFrame(rows, columns=names)
                 for c in ("word_idx", "char_idx", "x", "y", "t", "b", "l", "r"):
                     out[c] = out[c].astype("Int32")
+                for c in ("label", "img", "status"):
+                    out[c] = pd.Series([x if isinstance(x, (str, np.ndarray)) else None for x in out[c]], dtype=object)
                 yield out
 
     return pages.mapInPandas(run, PAGE)

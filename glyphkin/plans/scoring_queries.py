@@ -143,10 +143,10 @@ def s20_with_diagonal(spark, sf_dir):
     return dist.with_diagonal(_distances(spark, sf_dir))
 
 
-@query(f"WITH {DISTANCES}, tp AS (SELECT style, letter, 2 * max(dist) AS ab FROM ds GROUP BY ALL), su AS (SELECT style, sum(ab) AS ab, count(*) AS l FROM tp GROUP BY style), dc AS (SELECT DISTINCT doc FROM cl), gn AS (SELECT ds.style, doc_a, doc_b, sum(dist - ab) AS g FROM ds JOIN tp ON ds.style = tp.style AND ds.letter = tp.letter GROUP BY ALL) SELECT su.style, a.doc AS doc_a, b.doc AS doc_b, round((ab + coalesce(g, 0)) / l, 6) AS mean FROM dc a JOIN dc b ON a.doc < b.doc CROSS JOIN su LEFT JOIN gn ON gn.style = su.style AND gn.doc_a = a.doc AND gn.doc_b = b.doc")
+@query(f"WITH {DISTANCES}, tp AS (SELECT style, letter, 2 * max(dist) AS ab FROM ds GROUP BY ALL), su AS (SELECT style, sum(ab) AS ab, count(*) AS l FROM tp GROUP BY style), dc AS (SELECT DISTINCT doc FROM cl), gn AS (SELECT ds.style, doc_a, doc_b, sum(dist - ab) AS g FROM ds JOIN tp ON ds.style = tp.style AND ds.letter = tp.letter GROUP BY ALL) SELECT su.style, a.doc AS doc_a, b.doc AS doc_b, round((ab + coalesce(g, 0)) / l, 4) AS mean FROM dc a JOIN dc b ON a.doc < b.doc CROSS JOIN su LEFT JOIN gn ON gn.style = su.style AND gn.doc_a = a.doc AND gn.doc_b = b.doc")
 def a17_mean_distances(spark, sf_dir):
     out = dist.mean_distances(_distances(spark, sf_dir), _documents(spark, sf_dir))
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", F.round("mean", 4))
 
 
 @query(f"SELECT (row_number() OVER (ORDER BY alpha) - 1)::INTEGER AS a, alpha FROM (SELECT unnest([0.1::DOUBLE, 0.15::DOUBLE]) AS base) CROSS JOIN (SELECT unnest(range(-5, 4)) AS e) CROSS JOIN LATERAL (SELECT base * pow(2::DOUBLE, e) AS alpha) WHERE alpha > 0 AND alpha < 1")
@@ -186,12 +186,10 @@ def x5_candidates(spark, sf_dir):
     ds = _distances(spark, sf_dir)
     levels = scoring.quantiles(ds, digits=9)
     counts = scoring.letters_below(ds, levels)
-    each = scoring.tails(counts).withColumn("p", F.col("p"))
     best = scoring.scores(counts, TESTS, EPSILON).select("style", "doc_a", "doc_b", "n1hat")
     # the level of least tail at n1hat, on rounded tails so that both engines agree on ties
     full = counts.withColumn("n1", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("p", F.round(binomial_tail(F.col("k") - F.col("n1"), F.col("n") - F.col("n1"), F.col("alpha")), 12))
     level = full.join(best, ["style", "doc_a", "doc_b"]).filter("n1 = n1hat").groupBy("style", "doc_a", "doc_b").agg(F.min(F.struct("p", "a")).alias("m")).select("style", "doc_a", "doc_b", "m.a")
-    del each
     return scoring.candidates(level, ds, levels)
 
 

@@ -59,15 +59,15 @@ VALID = "stroke IS NOT NULL AND NOT isnan(stroke) AND stroke <> -360"
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slanted word boxes: one order line a box. `polygon` is flat, in whole numbers."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS k", "l_linenumber AS j", "concat('p', l_orderkey % 200) AS page", "CAST((l_orderkey * 37 + l_linenumber * 211) % 2000 AS int) AS l",
-        "CAST((l_orderkey * 53 + l_linenumber * 17) % 3000 AS int) AS t", "CAST(20 + l_quantity * 2 AS int) AS w", "CAST(12 + l_linenumber AS int) AS h", "l_discount AS score", "l_tax AS tax",
+        "l_orderkey AS k", "l_linenumber AS j", "concat('p', l_orderkey % 200) AS page", "CAST((l_orderkey * l_orderkey * 31 + l_linenumber * 211) % 1999 AS int) AS l",
+        "CAST((l_orderkey * l_orderkey * 17 + l_orderkey * 7 + l_linenumber * 1013) % 2999 AS int) AS t", "CAST(20 + l_quantity * 2 AS int) AS w", "CAST(12 + l_linenumber AS int) AS h", "l_discount AS score", "l_tax AS tax",
     )
     return rows.selectExpr("*", "array(l, t, l + w, t + 2, l + w - 3, t + h, l - 3, t + h - 2) AS polygon")
 
 
 BOXES = """bx AS (SELECT *, [l, t, l + w, t + 2, l + w - 3, t + h, l - 3, t + h - 2] AS polygon FROM (
-    SELECT l_orderkey AS k, l_linenumber AS j, 'p' || (l_orderkey % 200)::VARCHAR AS page, ((l_orderkey * 37 + l_linenumber * 211) % 2000)::INTEGER AS l,
-    ((l_orderkey * 53 + l_linenumber * 17) % 3000)::INTEGER AS t, (20 + l_quantity * 2)::INTEGER AS w, (12 + l_linenumber)::INTEGER AS h, l_discount AS score, l_tax AS tax FROM lineitem))"""
+    SELECT l_orderkey AS k, l_linenumber AS j, 'p' || (l_orderkey % 200)::VARCHAR AS page, ((l_orderkey * l_orderkey * 31 + l_linenumber * 211) % 1999)::INTEGER AS l,
+    ((l_orderkey * l_orderkey * 17 + l_orderkey * 7 + l_linenumber * 1013) % 2999)::INTEGER AS t, (20 + l_quantity * 2)::INTEGER AS w, (12 + l_linenumber)::INTEGER AS h, l_discount AS score, l_tax AS tax FROM lineitem))"""
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +85,10 @@ METADATA = """md AS (SELECT s_suppkey AS row, s_name AS FileName, CASE WHEN s_su
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters in clusters: one order line a character; images of five pixels."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat('d', l_suppkey % 10) AS doc", "l_partkey % 20 AS cluster", "l_returnflag AS label", "l_linestatus = 'O' AS is_italic", "l_orderkey AS k", "l_linenumber AS j",
+        "concat('d', l_suppkey % 10) AS doc", "l_partkey % 20 AS cluster", "CASE WHEN l_orderkey % 3 < 2 THEN chr(65 + l_partkey % 4) ELSE l_returnflag END AS label", "l_linestatus = 'O' AS is_italic", "l_orderkey AS k", "l_linenumber AS j",
         "array(l_discount, l_tax, l_quantity / 50, CASE WHEN l_orderkey % 101 = 0 THEN double('NaN') ELSE 0D END, 0D) AS img",
     )
 
 
-CHARS = """ch AS (SELECT 'd' || (l_suppkey % 10)::VARCHAR AS doc, l_partkey % 20 AS cluster, l_returnflag AS label, l_linestatus = 'O' AS is_italic, l_orderkey AS k, l_linenumber AS j,
+CHARS = """ch AS (SELECT 'd' || (l_suppkey % 10)::VARCHAR AS doc, l_partkey % 20 AS cluster, CASE WHEN l_orderkey % 3 < 2 THEN chr((65 + l_partkey % 4)::INTEGER) ELSE l_returnflag END AS label, l_linestatus = 'O' AS is_italic, l_orderkey AS k, l_linenumber AS j,
     [l_discount, l_tax, l_quantity / 50, CASE WHEN l_orderkey % 101 = 0 THEN 'NaN'::DOUBLE ELSE 0::DOUBLE END, 0::DOUBLE] AS img FROM lineitem)"""
