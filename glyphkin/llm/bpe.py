@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from .common import table
+from .common import table, trim
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -40,12 +40,12 @@ class TreeBpe:
 
     def __init__(self, path: str, leaf_bytes: int = 4096, threads: int = 2) -> None:
         import tiktoken
-        import tokenizers
+        import tokenizers.pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without normaliser or prefix space")
         letters = _byte_alphabet()
         as_bytes = {t: bytes(letters[c] for c in t) for t in model["vocab"]}
@@ -62,7 +62,7 @@ class TreeBpe:
 
         ranks = {b: model["vocab"][t] for t, b in as_bytes.items() if t not in self.specials}
         self.engine = tiktoken.Encoding("tree", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
-        self.pretokens = tokenizers.Tokenizer.from_file(path).pre_tokenizer
+        self.pretokens = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.leaf, self.pool = leaf_bytes, ThreadPoolExecutor(threads)
         self.allowed = set(self.specials)
 
@@ -167,6 +167,8 @@ def bpe_encode(df: DataFrame, text_col: str = "text", path: str | None = None, i
         for b in batches:
             ids = [tree.encode(t.as_py()).astype(np.int32) for t in b.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
+            del b, ids
+            trim()
 
     return df.mapInArrow(run, schema)
 

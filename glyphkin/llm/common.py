@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # White space as the contracts define it, one byte each in UTF-8.
@@ -57,6 +60,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes whose running sums are held at a time.
+HASH_BYTES = 1 << 18
+
 _BYTE_VALUES = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
 _RATIOS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -110,11 +116,23 @@ class Words:
         self.text_at = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
         self.first = np.searchsorted(self.starts, self.text_at)
         if hashed:
-            up, down = _POWERS[0].upto(len(self.buf) + 1)
-            sums = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.buf] * up[:-1], out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(_RATIOS[1]))
+            self.hashes = self._hash_words()
+
+    def _hash_words(self) -> np.ndarray:
+        """Polynomial hashes of the words' bytes from running sums, a few hundred kilobytes at a time."""
+        out = np.zeros(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            base = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, base + HASH_BYTES, side="right")))
+            part = self.buf[base : int(self.ends[j - 1])]
+            up, down = _POWERS[0].upto(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE_VALUES[part] * up[:-1], out=sums[1:])
+            a, b = self.starts[i:j] - base, self.ends[i:j] - base
+            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(_RATIOS[1]))
+            i = j
+        return out
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -142,6 +160,21 @@ class Words:
         return np.cumsum(ok[:-1]) > 0
 
 
+@functools.cache
+def _malloc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers are kept between tasks, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Start offsets of the runs of equal values."""
     if not len(sorted_keys):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_out, table
+from .common import held_out, table, trim
 
 BUCKETS = 1 << 16
 PER_LANG = 1000
@@ -125,6 +125,8 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
                     o.extend(g)
             if out:
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(o, kinds[i]) for i, o in enumerate(out))], [*names, *(f"c{i}" for i in range(len(out)))])
+            del b, texts, out
+            trim()
 
     # columns are matched by name, so the map uses plain names and they are renamed afterwards
     inner = ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Words, ensure_checkpoint_dir, runs, separators, stored, table
 from .components import components
-from .substring import CHUNK_BYTES, PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, deal, pack, undeal, unpack
+from .substring import CHUNK_BYTES, PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, deal, pack, trimmed, trimmed_pair, undeal, unpack
 
 N, PERCENT = 5, 75
 #: n-grams in one task of the join, and in a block of a large group.
@@ -87,7 +87,7 @@ def count_shared(packed: DataFrame) -> DataFrame:
                 out.append(pack(p[0][some], (mine[some], 1)))
         return pa.table({"chunk": pa.array(out_chunk, pa.int64()), "payload": pa.array(out, pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(run, PACKED)
+    return packed.groupBy("bucket").applyInArrow(trimmed(run), PACKED)
 
 
 def _class_rows(t: pa.Table, reps: pa.Table) -> tuple[list, list]:
@@ -248,7 +248,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return by_bucket(t.column("chunk")[0].as_py(), keys, at, buckets, (keys, 5), (np.minimum(s.count, 65535), 2))
 
     held = dealt.groupBy("chunk").cogroup(reps.groupBy("chunk"))
-    shared = count_shared(held.applyInArrow(first, TO_BUCKET))
+    shared = count_shared(held.applyInArrow(trimmed_pair(first), TO_BUCKET))
     both = shared.withColumn("id", F.lit(None).cast("long")).withColumn("key", F.lit(None).cast("string"))
     both = both.unionByName(reps.select("chunk", F.lit(None).cast("binary").alias("payload"), "id", "key"))
 
@@ -271,7 +271,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         arrays = (pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x)) for x in (keys, levels))
         return pa.table([pa.array(ids, pa.int64()), pa.array(s.size, pa.int64()), pa.array(np.where(stays, prefix - alone, 0), pa.int64()), *arrays], names=["id", "size", "prefix", "tokens", "levels"])
 
-    sets = stored(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(second, "id long, size long, prefix long, tokens array<long>, levels array<short>"))
+    sets = stored(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(trimmed_pair(second), "id long, size long, prefix long, tokens array<long>, levels array<short>"))
     found = components(_linked(sets, percent, block_tokens))
     return _attach(rows, reps, sets.groupBy("id").agg(F.max("size").alias("size")), found, id_col)
 
@@ -305,7 +305,7 @@ def _linked(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
         some = np.flatnonzero(ids[root] != ids)
         return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[root[some]], pa.int64())})
 
-    return cast.groupBy("bin", "row", "col").applyInArrow(run, "a long, b long")
+    return cast.groupBy("bin", "row", "col").applyInArrow(trimmed(run), "a long, b long")
 
 
 def _attach(rows: DataFrame, reps: DataFrame, sizes: DataFrame, found: DataFrame, id_col: str, salts: int = 16) -> DataFrame:

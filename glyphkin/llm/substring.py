@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Words, runs, table
+from .common import Words, runs, table, trim
 
 CHUNK_BYTES = 4 << 20
 PACKED = "chunk long, payload binary"
@@ -45,21 +45,22 @@ def deal(df: DataFrame, id_col: str, n_chunks: int) -> DataFrame:
     keyed = df.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)))
 
     def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression=None)
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            t = pa.Table.from_batches([b])
-            order = np.argsort(t.column("__chunk").to_numpy(), kind="stable")
-            keys = t.column("__chunk").to_numpy()[order]
-            t = t.drop_columns("__chunk").take(pa.array(order))
+            keys = b.column("__chunk").to_numpy(zero_copy_only=False)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            rows = b.select([n for n in b.schema.names if n != "__chunk"])
             at = runs(keys)
             out = []
             for i, j in zip(at, [*at[1:], len(keys)]):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, t.schema, options=options) as w:
-                    w.write_table(t.slice(i, j - i))
+                with pa.ipc.new_stream(sink, rows.schema) as w:
+                    w.write_batch(rows.take(pa.array(order[i:j])))
                 out.append(press.compress(sink.getvalue()))
             yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(out, pa.binary())], ["chunk", "payload"])
+            del b, rows, out
+            trim()
 
     return keyed.mapInArrow(run, PACKED)
 
@@ -71,34 +72,40 @@ def undeal(blobs, id_col: str, text_col: str) -> pa.Table:
     return t.combine_chunks().sort_by([(id_col, "ascending"), (text_col, "ascending")])
 
 
+#: Packs of fewer entries are stored as they are; compressing them costs more than it saves.
+SMALL = 192
+
+
 def pack(at: np.ndarray, *columns: tuple[np.ndarray, int]) -> bytes:
-    """Ascending positions as byte planes of their gaps, columns as their low bytes; small enough to shuffle."""
+    """Ascending positions as byte planes of their gaps, columns as their low bytes; width 0 is for flags."""
     gaps = np.diff(at, prepend=0).astype("<u4")
+    small = len(at) < SMALL
+    press = None if small else zstandard.ZstdCompressor(level=1)
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes()
-    press = zstandard.ZstdCompressor(level=1)
-    head = press.compress(planes)
-    parts = [len(at).to_bytes(8, "little"), len(head).to_bytes(8, "little"), head]
+    head = planes if small else press.compress(planes)
+    parts = [len(at).to_bytes(4, "little"), len(head).to_bytes(4, "little"), head]
     for values, width in columns:
-        if width == 0:  # flags
-            x = press.compress(np.packbits(values).tobytes())
-            parts += [len(x).to_bytes(8, "little"), x]
+        if width == 0:
+            bits = np.packbits(values).tobytes()
+            bits = bits if small else press.compress(bits)
+            parts += [len(bits).to_bytes(4, "little"), bits]
         else:
             parts.append(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes())
     return b"".join(parts)
 
 
 def unpack(data: bytes, *widths: int) -> list[np.ndarray]:
-    press = zstandard.ZstdDecompressor()
-    n, size = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-    planes = np.frombuffer(press.decompress(data[16 : 16 + size]), np.uint8).reshape(4, n)
+    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    plain = (lambda x: x) if n < SMALL else zstandard.ZstdDecompressor().decompress
+    planes = np.frombuffer(plain(data[8 : 8 + size]), np.uint8).reshape(4, n)
     out = [np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))]
-    i = 16 + size
+    i = 8 + size
     for width in widths:
         if width == 0:
-            size = int.from_bytes(data[i : i + 8], "little")
-            bits = np.frombuffer(press.decompress(data[i + 8 : i + 8 + size]), np.uint8)
+            size = int.from_bytes(data[i : i + 4], "little")
+            bits = np.frombuffer(plain(data[i + 4 : i + 4 + size]), np.uint8)
             out.append(np.unpackbits(bits, count=n).astype(bool))
-            i += 8 + size
+            i += 4 + size
         else:
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :width] = np.frombuffer(data, np.uint8, n * width, i).reshape(n, width)
@@ -107,6 +114,30 @@ def unpack(data: bytes, *widths: int) -> list[np.ndarray]:
     return out
 
 
+def trimmed(run):
+    """The function of one table, with freed memory given back after each call."""
+
+    def then_trim(t: pa.Table) -> pa.Table:
+        try:
+            return run(t)
+        finally:
+            trim()
+
+    return then_trim
+
+
+def trimmed_pair(run):
+    """The same for a function of two tables."""
+
+    def then_trim(t: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return run(t, other)
+        finally:
+            trim()
+
+    return then_trim
+
+
 def by_bucket(chunk: int, hashes: np.ndarray, at: np.ndarray, n_buckets: int, *columns: tuple[np.ndarray, int]) -> pa.Table:
     """One row a bucket: the entries whose hash falls to it, in ascending position."""
     bucket = (hashes >> np.uint64(40)).astype(np.int64) % n_buckets
@@ -181,7 +212,7 @@ def find_shared(packed: DataFrame, widths: tuple[int, ...], flagged: bool) -> Da
                 out.append(pack(mine))
         return pa.table({"chunk": pa.array(out_chunk, pa.int64()), "payload": pa.array(out, pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(run, PACKED)
+    return packed.groupBy("bucket").applyInArrow(trimmed(run), PACKED)
 
 
 def _reps(payloads) -> np.ndarray:
@@ -206,7 +237,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = groups.rep[order]
         return by_bucket(t.column("chunk")[0].as_py(), keys[at], at, buckets, (keys[at], 5), (aligned[order], 0))
 
-    hits = find_shared(dealt.groupBy("chunk").applyInArrow(probe, TO_BUCKET), (5, 0), flagged=True)
+    hits = find_shared(dealt.groupBy("chunk").applyInArrow(trimmed(probe), TO_BUCKET), (5, 0), flagged=True)
 
     def extend(t: pa.Table, found: pa.Table) -> pa.Table:
         words = Words(undeal(t.column("payload"), id_col, text_col).column(text_col).to_pylist())
@@ -221,7 +252,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = np.sort(Groups(first[at], at).rep)
         return by_bucket(t.column("chunk")[0].as_py(), first[at], at, buckets, (first[at], 5), (second[at], 7))
 
-    longer = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, TO_BUCKET)
+    longer = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(trimmed_pair(extend), TO_BUCKET)
     repeats = find_shared(longer, (5, 7), flagged=False)
     schema = T.StructType([*kept, *outputs])
 
@@ -242,7 +273,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = rows.append_column(f.name, x)
         return rows
 
-    return dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(remove, schema)
+    return dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(trimmed_pair(remove), schema)
 
 
 def kept_texts(words: Words, keep: np.ndarray) -> list[str]:
