@@ -42,7 +42,8 @@ def printer_or_unknown(printer: Column) -> Column:
 
 def rounded_dpi(median: Column, step: int = 50, fallback: int = 150) -> Column:
     """A resolution rounded (half to even) to steps, one step at least; the fallback for none."""
-    return F.coalesce(F.greatest((F.rint(median / step) * step).cast("int"), F.lit(step)), F.lit(fallback))
+    rounded = F.greatest((F.rint(median / step) * step).cast("int"), F.lit(step))
+    return F.when(median.isNotNull(), rounded).otherwise(F.lit(fallback))
 
 
 def resize_scale(target: Column, original: Column, tolerance: float = 0.01) -> Column:

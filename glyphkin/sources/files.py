@@ -35,7 +35,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """(doc, page, word_idx, tblr, polygon, text, scores, chars): one JSON array of words a page."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     rows = text.select(*page_of(), F.from_json("value", f"array<struct<{', '.join(_struct_fields(schemas.WORDS_JSON))}>>").alias("words"))
     rows = rows.select("doc", "page", F.posexplode("words").alias("word_idx", "w"))
     return rows.select("doc", "page", "word_idx", "w.*")
