@@ -246,6 +246,8 @@ def parse(source: str) -> list[tuple]:
     for i, part in enumerate(parts):
         body = stack[-1][2]
         if i % 2 == 0:
+            if "{{" in part or "{%" in part:
+                raise TemplateError(f"a tag is not closed in {part!r}")
             if part:
                 body.append(("text", part))
         elif part.startswith("{{"):
