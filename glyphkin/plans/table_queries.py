@@ -219,7 +219,7 @@ def k12_idempotent_write(spark, sf_dir):
     return spark.read.parquet(path).groupBy("doc").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'p' || (p_partkey % 7)::VARCHAR AS suelta, p_partkey::VARCHAR AS page, p_retailprice AS dpi, round(p_size * 2.54, 6) AS cm FROM part")
+@query("SELECT 'p' || (p_partkey % 7)::VARCHAR AS suelta, p_partkey::VARCHAR AS page, p_retailprice AS dpi, round(p_size * 2.54::DOUBLE, 6) AS cm FROM part")
 def k8_dpi_csv(spark, sf_dir):
     """The resolution table as CSV in folders by source, read back with its schema."""
     from ..sources.files import read_dpi
