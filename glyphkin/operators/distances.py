@@ -82,15 +82,15 @@ def with_diagonal(distances: DataFrame) -> DataFrame:
     return both.unionByName(own.select("style", "letter", "doc_a", F.col("doc_a").alias("doc_b"), F.lit(0.0).alias("dist")))
 
 
-def mean_distances(distances: DataFrame, documents: DataFrame) -> DataFrame:
-    """(style, doc_a, doc_b, mean): over all letters of the style, a missing pair counts twice the letter's largest."""
+def mean_distances(distances: DataFrame) -> DataFrame:
+    """(style, doc_a, doc_b, mean): over all letters of the style, a missing pair counts twice the letter's largest.
+
+    Pairs that share no letter are absent rows; they all have the mean of these doubled largest distances.
+    """
     tops = distances.groupBy("style", "letter").agg((2 * F.max("dist")).alias("absent"))
     sums = tops.groupBy("style").agg(F.sum("absent").alias("all_absent"), F.count("*").alias("letters"))
     held = distances.join(tops, ["style", "letter"]).groupBy("style", "doc_a", "doc_b").agg(F.sum(F.col("dist") - F.col("absent")).alias("gain"))
-    a, b = documents.select(F.col("doc").alias("doc_a")).distinct(), documents.select(F.col("doc").alias("doc_b")).distinct()
-    # the result has a row for every pair of documents, held or not: the join is the result
-    pairs = a.join(b, F.col("doc_a") < F.col("doc_b")).join(F.broadcast(sums))
-    return pairs.join(held, ["style", "doc_a", "doc_b"], "left").select("style", "doc_a", "doc_b", ((F.col("all_absent") + F.coalesce("gain", F.lit(0.0))) / F.col("letters")).alias("mean"))
+    return held.join(sums, "style").select("style", "doc_a", "doc_b", ((F.col("all_absent") + F.col("gain")) / F.col("letters")).alias("mean"))
 
 
 def coverage_report(selected: DataFrame, documents: DataFrame, minimum: float = 0.33) -> DataFrame:

@@ -73,22 +73,22 @@ def weighted(scored: DataFrame) -> DataFrame:
 
 
 def combined(scored: DataFrame, documents: DataFrame, metric: str = "average") -> DataFrame:
-    """(doc_a, doc_b, weight, distance, total) for each pair of documents that both available styles share.
+    """(doc_a, doc_b, weight, distance, total) for each scored pair of documents that all available styles have.
 
-    metric: one style, or the average; a style that no pair has falls back to the other. A pair without letters
-    in an available style weighs 0 there. documents: (style, doc), the documents each style is available for.
+    metric: one style, or the average; a style that no document has falls back to the other. A pair without letters
+    in an available style weighs 0 there; pairs without any are absent rows of weight 0 and distance 1.
+    documents: (style, doc), the documents each style is available for.
     """
     styles = documents.select("style", "doc").distinct()
     available = styles.agg(F.max((F.col("style") == "roman").cast("int")).alias("has_r"), F.max((F.col("style") == "italic").cast("int")).alias("has_i"))
     shared = styles.join(F.broadcast(available)).groupBy("doc", "has_r", "has_i").agg(F.countDistinct("style").alias("s")).filter(F.col("s") == F.col("has_r") + F.col("has_i"))
     a, b = shared.select(F.col("doc").alias("doc_a"), "has_r", "has_i"), shared.select(F.col("doc").alias("doc_b"))
-    pairs = a.join(b, F.col("doc_a") < F.col("doc_b"))
     w = weighted(scored).groupBy("doc_a", "doc_b").agg(*(F.max(F.when(F.col("style") == s, F.col("weight"))).alias(n) for s, n in (("roman", "r"), ("italic", "i"))))
     r = F.when(F.col("has_r") == 1, F.coalesce("r", F.lit(0.0)))
     i = F.when(F.col("has_i") == 1, F.coalesce("i", F.lit(0.0)))
     mean = F.coalesce((r + i) / 2, r, i)
     weight = {"roman": F.coalesce(r, i), "italic": F.coalesce(i, r)}.get(metric, mean)
-    rows = pairs.join(w, ["doc_a", "doc_b"], "left").withColumn("weight", weight).withColumn("total", F.coalesce(r, F.lit(0.0)) + F.coalesce(i, F.lit(0.0)))
+    rows = w.join(a, "doc_a").join(b, "doc_b").withColumn("weight", weight).withColumn("total", F.coalesce(r, F.lit(0.0)) + F.coalesce(i, F.lit(0.0)))
     return rows.select("doc_a", "doc_b", "weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("weight"))).alias("distance"), "total")
 
 

@@ -69,7 +69,7 @@ PAIRS = f"""{SCORES},
     hv AS (SELECT max((style = 'roman')::INTEGER) AS r, max((style = 'italic')::INTEGER) AS i FROM sel),
     w2 AS (SELECT doc_a, doc_b, max(weight) FILTER (style = 'roman') AS r, max(weight) FILTER (style = 'italic') AS i FROM wt GROUP BY ALL),
     pp AS (SELECT a.doc AS doc_a, b.doc AS doc_b, CASE WHEN hv.r = 1 THEN coalesce(w2.r, 0) END AS r, CASE WHEN hv.i = 1 THEN coalesce(w2.i, 0) END AS i
-           FROM ok a JOIN ok b ON a.doc < b.doc CROSS JOIN hv LEFT JOIN w2 ON w2.doc_a = a.doc AND w2.doc_b = b.doc),
+           FROM w2 JOIN ok a ON w2.doc_a = a.doc JOIN ok b ON w2.doc_b = b.doc CROSS JOIN hv),
     cb AS (SELECT doc_a, doc_b, r, i, coalesce((r + i) / 2, r, i) AS weight, coalesce(r, 0) + coalesce(i, 0) AS total FROM pp)"""
 
 
@@ -143,9 +143,9 @@ def s20_with_diagonal(spark, sf_dir):
     return dist.with_diagonal(_distances(spark, sf_dir))
 
 
-@query(f"WITH {DISTANCES}, tp AS (SELECT style, letter, 2 * max(dist) AS ab FROM ds GROUP BY ALL), su AS (SELECT style, sum(ab) AS ab, count(*) AS l FROM tp GROUP BY style), dc AS (SELECT DISTINCT doc FROM cl), gn AS (SELECT ds.style, doc_a, doc_b, sum(dist - ab) AS g FROM ds JOIN tp ON ds.style = tp.style AND ds.letter = tp.letter GROUP BY ALL) SELECT su.style, a.doc AS doc_a, b.doc AS doc_b, round((ab + coalesce(g, 0)) / l, 4) AS mean FROM dc a JOIN dc b ON a.doc < b.doc CROSS JOIN su LEFT JOIN gn ON gn.style = su.style AND gn.doc_a = a.doc AND gn.doc_b = b.doc")
+@query(f"WITH {DISTANCES}, tp AS (SELECT style, letter, 2 * max(dist) AS ab FROM ds GROUP BY ALL), su AS (SELECT style, sum(ab) AS ab, count(*) AS l FROM tp GROUP BY style), gn AS (SELECT ds.style, doc_a, doc_b, sum(dist - ab) AS g FROM ds JOIN tp ON ds.style = tp.style AND ds.letter = tp.letter GROUP BY ALL) SELECT su.style, doc_a, doc_b, round((ab + g) / l, 4) AS mean FROM gn JOIN su ON gn.style = su.style")
 def a17_mean_distances(spark, sf_dir):
-    out = dist.mean_distances(_distances(spark, sf_dir), _documents(spark, sf_dir))
+    out = dist.mean_distances(_distances(spark, sf_dir))
     return out.withColumn("mean", F.round("mean", 4))
 
 
