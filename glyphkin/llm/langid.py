@@ -134,8 +134,9 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
     return mapped.select(*names, *(F.col(f"c{i}").alias(name) for i, (name, _) in enumerate(fields)))
 
 
-def sample_by(df: DataFrame, id_col: str, text_col: str, by: str, limit: int) -> list[tuple[object, list[str]]]:
-    """(value, texts) for at most `limit` rows of each value of `by`, those with the smallest hash of the id.
+def sample_by(df: DataFrame, id_col: str, text_col: str, by: str, limit: int, most_values: int = 1000) -> list[tuple[object, list[str]]]:
+    """(value, texts) for at most `limit` rows of each value of `by`, those with the smallest hash of the id, for the
+    `most_values` most frequent values.
 
     Values are counted first; the rows below a hash bound that lets a fifth more than `limit` through are fetched.
     No group of rows is sorted or gathered on an executor, and the driver gets a bounded number a value.
@@ -143,7 +144,7 @@ def sample_by(df: DataFrame, id_col: str, text_col: str, by: str, limit: int) ->
     df = df.filter(F.col(by).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     space = 1 << 31
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(space))
-    bounds = {r[0]: min(space, -(-limit * 6 * space // (5 * r[1]))) for r in df.groupBy(by).count().collect()}
+    bounds = {r[0]: min(space, -(-limit * 6 * space // (5 * r[1]))) for r in df.groupBy(by).count().orderBy(F.col("count").desc(), by).limit(most_values).collect()}
     if not bounds:
         return []
     wanted = functools.reduce(lambda a, b: a | b, ((F.col(by) == F.lit(v)) & (place < F.lit(k)) for v, k in bounds.items()))
