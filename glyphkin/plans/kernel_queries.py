@@ -203,3 +203,15 @@ def i10_centred_glyphs(spark, sf_dir):
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "img": [x.ravel().astype(np.float32) for x in g]})
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, img array<float>")
+
+
+@query()
+def i24_detected_words(spark, sf_dir):
+    """Grid cells drawn from order lines, three a detection, to words with text."""
+    from ..operators.detection import Detector, detect_words
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr("'d' AS doc", "concat('p', l_orderkey % 200) AS page", "l_orderkey AS k", "l_linenumber AS j", "CAST((l_orderkey * l_orderkey * 31) % 400 AS int) AS x0", "CAST((l_orderkey * l_orderkey * 17) % 600 AS int) AS y", "explode(array(0, 1)) AS dx")
+    words = rows.filter("j = 1").selectExpr("doc", "page", "x0 + dx AS x", "y", "0.99D - dx / 100 AS score", "2D AS t", "2D AS b", "10D + dx AS l", "10D - dx AS r", "0D AS angle", "1D AS scale_x", "1D AS scale_y", "1700 AS width", "2500 AS height").dropDuplicates(["page", "x", "y"])
+    chars = rows.filter("j = 1").selectExpr("doc", "page", "x0 + dx AS x", "y", "0.9D - dx / 10 AS score", "2D AS t", "2D AS b", "2D + dx AS l", "2D - dx AS r", "transform(sequence(0, 2), c -> IF(c = k % 3, 0.8D, 0.1D)) AS classes", "1D AS scale_x", "1D AS scale_y").dropDuplicates(["page", "x", "y"])
+    labels = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "id int, char string")
+    return detect_words(words, chars, labels, detector=Detector()).select("doc", "page", "word_idx", "tblr", "text", F.round("text_score", 6).alias("text_score"))
