@@ -38,15 +38,14 @@ def letters() -> np.ndarray:
 
 
 class Grams:
-    """The hashed n-grams of several texts; index 0 stands for no letter at all and weighs nothing."""
+    """The hashed n-grams of several lower-case texts; index 0 stands for no letter at all and weighs nothing."""
 
-    def __init__(self, texts: list[str], buckets: int = BUCKETS) -> None:
-        lower = [t.lower() for t in texts]
+    def __init__(self, lower: list[str], buckets: int = BUCKETS) -> None:
         sizes = np.fromiter(map(len, lower), np.int64, len(lower))
         chars = np.frombuffer(("   ".join(lower) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
         chars = np.where(letters()[chars], chars, 0).astype(np.uint32)
         self.at = np.concatenate([[0], np.cumsum(sizes + 3)])
-        self.has_letter = np.add.reduceat(chars != 0, self.at[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        self.has_letter = np.add.reduceat(chars != 0, self.at[:-1]) > 0 if lower else np.zeros(0, bool)
         self.hashed = []
         h = np.zeros(len(chars), np.uint32)
         some = np.zeros(len(chars), bool)
@@ -70,7 +69,7 @@ class NaiveBayes:
         counts = np.full((len(samples), ORDERS, buckets), smoothing)
         for i, (_, texts) in enumerate(samples):
             for part in split_by_size(texts):
-                for n, h in enumerate(Grams(part, buckets).hashed):
+                for n, h in enumerate(Grams([t.lower() for t in part], buckets).hashed):
                     counts[i, n] += np.bincount(h, minlength=buckets)
         counts[:, :, 0] = 0
         logs = np.log(np.maximum(counts, 1e-300) / counts.sum(2, keepdims=True))
@@ -82,16 +81,31 @@ class NaiveBayes:
         """The likeliest language of each text and its probability among the learned ones."""
         if not texts or not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        grams = Grams(texts, self.weights.shape[2])
-        total = np.empty((len(texts), len(self.langs)))
-        for i in range(len(self.langs)):
-            sums = self.weights[i, 0][grams.hashed[0]]
-            for n in range(1, ORDERS):
-                sums += self.weights[i, n][grams.hashed[n]]
-            total[:, i] = np.add.reduceat(sums, grams.at[:-1], dtype=np.float64) + self.prior[i]
+        total = np.tile(self.prior, (len(texts), 1))
+        lettered = np.zeros(len(texts), bool)
+        lower = [t.lower() for t in texts]
+        short = [i for i, t in enumerate(lower) if len(t) <= BATCH_CHARS]
+        self._add(total, lettered, short, Grams([lower[i] for i in short], self.weights.shape[2]), None)
+        for i, t in enumerate(lower):
+            # a long text in pieces; each n-gram counts in the piece where it begins
+            for a in range(0, len(t) if len(t) > BATCH_CHARS else 0, BATCH_CHARS):
+                piece = Grams([t[a : a + BATCH_CHARS + ORDERS - 1]], self.weights.shape[2])
+                self._add(total, lettered, [i], piece, BATCH_CHARS)
         best = total.argmax(1)
         chance = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, grams.has_letter)], np.where(grams.has_letter, np.minimum(chance, 1.0), 0.0).tolist()
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, np.minimum(chance, 1.0), 0.0).tolist()
+
+
+    def _add(self, total: np.ndarray, lettered: np.ndarray, rows: list[int], grams: Grams, first: int | None) -> None:
+        """Adds the log chances of each text's n-grams to its row; of the first so many positions only, if given."""
+        if not rows:
+            return
+        for i in range(len(self.langs)):
+            sums = self.weights[i, 0][grams.hashed[0][:first]]
+            for n in range(1, ORDERS):
+                sums += self.weights[i, n][grams.hashed[n][:first]]
+            total[rows, i] += np.add.reduceat(sums, grams.at[:-1], dtype=np.float64)
+        lettered[rows] |= grams.has_letter
 
 
 def split_by_size(texts: list[str], limit: int = BATCH_CHARS):

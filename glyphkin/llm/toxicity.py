@@ -5,7 +5,7 @@ one for whole words and one for their first four bytes, and added; filters of wi
 sequence, each keeps its largest answer over the whole text, and a logistic unit weighs these. Training (Adam,
 dropout on filters) reads at most `per_class` labelled texts of each class, chosen by a hash of the id, whole.
 
-A fifth of the sample calibrates one threshold a language, the one of best F1; scores are then bent so that it
+A fifth of the sample calibrates one threshold a language, about that of the best F1; scores are then bent so that it
 lies at `operating_point` for every language. The language is guessed from the text's own letters, never from a
 column. Null and empty texts score what a text without words scores. With labels of one class or none, every
 score is that class's share (0 without labels). Rows are scored alone; repeated rows need no rule, and if one id
@@ -23,6 +23,9 @@ from .langid import map_texts, sample_by, split_by_size
 PER_CLASS = 2500
 WIDTHS = (1, 2, 3)
 OPERATING_POINT = 0.3
+BLOCK_WORDS = 1 << 16
+#: Share of words that training shows by their first bytes only, so that unseen words of a kind are recognised.
+HIDDEN_WORDS = 0.4
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
@@ -39,7 +42,7 @@ class Tokens:
     def __init__(self, texts: list[str], rows: int, prefix_rows: int) -> None:
         words = Words([t.lower() for t in texts], _INSIDE)
         self.first = words.first
-        self.word = (words.hashes % np.uint64(rows)).astype(np.int32)
+        self.word = 1 + (words.hashes % np.uint64(rows - 1)).astype(np.int32)
         head = np.zeros(len(words), np.uint32)
         size = words.ends - words.starts
         for k in range(4):
@@ -76,6 +79,7 @@ class ToxicityModel:
         }
         for w in WIDTHS:
             self.p[f"conv{w}"] = rng.normal(0, 0.5 / np.sqrt(w), (w, dims, filters)).astype(np.float32)
+        self.p["word"][0] = 0  # the row of a word that training hides
         self.thresholds = np.full(len(LANGS), OPERATING_POINT)
         self.constant: float | None = None
 
@@ -83,32 +87,37 @@ class ToxicityModel:
         return Tokens(texts, self.rows, self.prefix_rows)
 
     def pooled(self, t: Tokens, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """The largest answer of each filter over each text (0 for none), and the word where it begins."""
+        """The largest answer of each filter over each text (0 for none), and the word where it begins.
+
+        Answers are made BLOCK_WORDS words at a time, so long texts need no more memory than short ones.
+        """
         n = len(t.first) - 1
-        out = np.zeros((n, len(WIDTHS) * self.filters), np.float32)
+        out = np.full((n, len(WIDTHS) * self.filters), -np.inf, np.float32)
         at = np.full(out.shape, -1, np.int64) if where else None
-        size = np.diff(t.first)
         self._tables()
         for i, w in enumerate(WIDTHS):
-            m = len(t.word) - w + 1
-            if m <= 0:
-                continue
-            answer = np.zeros((m, self.filters), np.float32)
-            for k in range(w):
-                answer += self.word_answers[w][k][t.word[k : k + m]]
-                answer += self.prefix_answers[w][k][t.prefix[k : k + m]]
-            long = np.flatnonzero(size >= w)
-            # a window that goes on into the next text is left out
-            edges = np.stack([t.first[:-1][long], t.first[1:][long] - w + 1], 1).ravel()
             columns = slice(i * self.filters, (i + 1) * self.filters)
-            if len(long):
-                cut = edges[:-1] if edges[-1] >= m else edges
+            # a window that goes on into the next text is left out
+            starts, ends = t.first[:-1], np.maximum(t.first[1:] - w + 1, t.first[:-1])
+            for a in range(0, len(t.word) - w + 1, BLOCK_WORDS):
+                b = min(len(t.word) - w + 1, a + BLOCK_WORDS)
+                low, high = np.clip(starts, a, b) - a, np.clip(ends, a, b) - a
+                some = np.flatnonzero(high > low)
+                if not len(some):
+                    continue
+                answer = np.zeros((b - a, self.filters), np.float32)
+                for k in range(w):
+                    answer += self.word_answers[w][k][t.word[a + k : b + k]]
+                    answer += self.prefix_answers[w][k][t.prefix[a + k : b + k]]
+                edges = np.stack([low[some], high[some]], 1).ravel()
+                cut = edges[:-1] if edges[-1] >= len(answer) else edges
                 best = np.maximum.reduceat(answer, cut, axis=0)[::2]
-                out[long, columns] = np.maximum(best + self.p["bias"][columns], 0)
                 if at is not None:
-                    for d, (a, b) in zip(long, edges.reshape(-1, 2)):
-                        at[d, columns] = a + answer[a:b].argmax(0)
-        return out, at
+                    for d, top, (x, y) in zip(some, best, edges.reshape(-1, 2)):
+                        first = a + x + answer[x:y].argmax(0)
+                        at[d, columns] = np.where(top > out[d, columns], first, at[d, columns])
+                out[some, columns] = np.maximum(out[some, columns], best)
+        return np.maximum(np.where(np.isneginf(out), 0, out + self.p["bias"]), 0), at
 
     def _tables(self) -> None:
         """Every row's answer to every filter, so that a word costs look-ups only."""
@@ -145,7 +154,10 @@ class ToxicityModel:
             order = rng.permutation(order)
             for i in range(0, len(order), batch):
                 part = order[i : i + batch]
-                grads = self._gradients(self.tokens([texts[j] for j in part]), labels[part], rng)
+                tokens = self.tokens([texts[j] for j in part])
+                tokens.word[rng.random(len(tokens.word)) < HIDDEN_WORDS] = 0
+                grads = self._gradients(tokens, labels[part], rng)
+                grads["word"][0] = 0
                 step += 1
                 lr = rate * (1 - 0.7 * epoch / epochs)
                 for k, g in grads.items():
@@ -180,7 +192,8 @@ class ToxicityModel:
         return grads
 
     def _calibrate(self, texts: list[str], labels: np.ndarray) -> None:
-        """For each language the threshold of best F1, halfway to the next lower score; all texts where few."""
+        """For each language a threshold between that of the best F1 and the lowest whose F1 is within a hundredth of
+        it, halfway in log odds; that of all texts where a language has few."""
         parts = [(self.raw(t), t.lang) for t in (self.tokens(p) for p in split_by_size(texts))]
         if not parts:
             return
@@ -192,8 +205,10 @@ class ToxicityModel:
             hits = np.cumsum(y)
             f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
             last = np.append(s[:-1] != s[1:], True)
-            k = int(np.argmax(np.where(last, f1, -1)))
-            return float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2, 0.02, 0.98))
+            good = np.flatnonzero(last & (f1 >= 0.99 * f1[last].max()))
+            cuts = [np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2, 0.02, 0.98) for k in (int(np.argmax(np.where(last, f1, -1))), int(good[-1]))]
+            odds = np.prod([c / (1 - c) for c in cuts]) ** 0.5
+            return float(odds / (1 + odds))
 
         everything = np.ones(len(raw), bool)
         overall = best(everything) if labels.any() else OPERATING_POINT

@@ -185,3 +185,10 @@ def test_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in clean.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 13, 14]
     last = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(last) == {0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 13, 14} and last[13].n_tokens == 0 and all(r.n_tokens == len(r["ids"]) for r in last.values())
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    for name, schema in (("documents", COLUMNS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{sf}/{name}.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0

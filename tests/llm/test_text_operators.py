@@ -376,6 +376,14 @@ def test_languages_of_odd_texts(spark):
     total = [sum(float(model.weights[i, n][h].sum()) for n, h in enumerate(g.hashed)) + model.prior[i] for i in range(2)]
     e = np.exp(np.array(total) - max(total))
     assert scores[0] == pytest.approx((e / e.sum()).max(), abs=1e-5)
+    long = "der hund und die katze " * 90
+    whole = model.score([long, "the dog", "den hund"])
+    langid.BATCH_CHARS, before = 100, langid.BATCH_CHARS
+    try:
+        assert model.score([long, "the dog", "den hund"])[0] == whole[0]
+        assert model.score([long, "the dog", "den hund"])[1] == pytest.approx(whole[1], abs=1e-9)
+    finally:
+        langid.BATCH_CHARS = before
     df = table(spark, [(1, None), (2, "the dog"), (None, "")])
     assert {(r.doc_id, r.lang_pred) for r in langid.identify_languages(df, model).collect()} == {(1, "und"), (2, "en"), (None, "und")}
     empty = langid.train_language_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
@@ -401,7 +409,9 @@ def test_toxicity_is_learned():
     assert model.score(["the alpha of idiot beta"])[0] == pytest.approx(score[0])
 
 
-def test_pooling_is_the_largest_answer():
+@pytest.mark.parametrize("block", [2, 1 << 16])
+def test_pooling_is_the_largest_answer(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", block)
     m = toxicity.ToxicityModel(rows=64, prefix_rows=32, dims=3, filters=4)
     texts = ["a b c d", "", "e", "f g"]
     t = m.tokens(texts)
