@@ -30,11 +30,14 @@ RAW = set("script style noscript template textarea title iframe noembed noframes
 OTHER_TAGS = set("nav aside footer form select dialog menu fieldset search".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 MAIN_WORDS = set("article content main post story entry body text".split())
-STRONG_WORDS = set("ad ads advert adverts advertisement adsense advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus cookie cookies consent gdpr newsletter subscribe subscription signup login pagination pager copyright".split())
-WEAK_WORDS = set("header masthead banner notice notices alert popup modal overlay toolbar widget widgets side search topbar disclaimer skip form rail tags meta".split())
+STRONG_WORDS = set("ad ads advert adverts advertisement adsense advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus cookie cookies consent gdpr newsletter subscribe subscription signup login pagination pager copyright notice notices alert popup modal overlay banner toolbar topbar form search disclaimer".split())
+WEAK_WORDS = set("header masthead widget widgets skip tags meta".split())
+#: Names of what stands at the side; also those of pages' outer frames, so an article inside counts all the same.
+SIDE_WORDS = set("sidebar side rail aside".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "other", "place", "heading")
@@ -54,28 +57,31 @@ class Block:
         return bool(self.text)
 
 
-def _speaks_of_other(name: str, attrs: str, inside: bool) -> bool:
+def _other(name: str, attrs: str, inside: bool) -> int:
+    """2 for an element that holds no main text, 1 if its name speaks of the side only, else 0."""
     if name in OTHER_TAGS or name == "header" and not inside:
-        return True
+        return 2
     if not attrs or name in ("body", "html", "article", "main"):
-        return False
+        return 0
     words: set[str] = set()
     for key, *values in _ATTR.findall(attrs):
         value = "".join(values)
         key = key.lower()
         if key == "role" and value.lower() in OTHER_ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
             words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
     if words & STRONG_WORDS or _HIDDEN.search(attrs):
-        return True
-    return bool(words & WEAK_WORDS) and not inside and not words & MAIN_WORDS
+        return 2
+    if words & WEAK_WORDS and not inside and not words & MAIN_WORDS:
+        return 2
+    return 1 if words & SIDE_WORDS else 0
 
 
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order; `place` is 2 inside an article, 1 on a page without, 0 outside."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, other, inside
+    stack: list[tuple[str, int, bool]] = []  # element, other, inside
     any_main = False
     link = False
     heading = False
@@ -85,8 +91,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal here
         if here.finish():
             out.append(here)
-        _, other, inside = stack[-1] if stack else ("", False, False)
-        here = Block(other, inside, heading)
+        _, other, inside = stack[-1] if stack else ("", 0, False)
+        here = Block(other > 0, inside, heading)
 
     at = 0
     while at < len(page):
@@ -131,12 +137,13 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCK:
             link = False
             if name in CONTAINER and not attrs.rstrip().endswith("/"):
-                _, other, inside = stack[-1] if stack else ("", False, False)
+                _, other, inside = stack[-1] if stack else ("", 0, False)
                 if name in ("li", "td", "th", "tr", "option", "dd", "dt") and stack and stack[-1][0] == name:
                     stack.pop()
-                    _, other, inside = stack[-1] if stack else ("", False, False)
-                other = other or _speaks_of_other(name, attrs, inside)
-                inside = inside or (name in ("article", "main") or 'role="main"' in attrs) and not other
+                    _, other, inside = stack[-1] if stack else ("", 0, False)
+                other = max(other, _other(name, attrs, inside))
+                if other < 2 and (name in ("article", "main") or _MAIN_ROLE.search(attrs)):
+                    other, inside = 0, True
                 any_main = any_main or inside
                 stack.append((name, other, inside))
             heading = name[0] == "h" and name[1:].isdigit()

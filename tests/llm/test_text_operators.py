@@ -336,6 +336,8 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("<article><p>cut <b off") == "cut"
     assert html.main_text('<article><p title="a > b">x</p><p class=it\'s>y</article>') == "x\ny"
+    assert html.main_text("<div class='page with-sidebar'><DIV CLASS='sidebar'><p>side words</DIV><ARTICLE>in<div class=notice>n</div></ARTICLE></div>") == "in"
+    assert html.main_text("<div role=main>a <p>b</div><div class=comments><article>c</article></div>") == "a\nb"
     prose = "<p>" + "many words of text " * 8 + "</p>"
     assert html.main_text(f"<div><a href=1>one</a></div><div><a href=2>two</a></div>{prose * 3}<div><a>x</a></div>").count("\n") == 2
 
