@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Words, ensure_checkpoint_dir, runs, separators, stored, table
 from .components import components
-from .substring import CHUNK_BYTES, PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, deal, pack, trimmed, trimmed_pair, undeal, unpack
+from .substring import PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, deal, pack, trimmed, trimmed_pair, undeal, unpack
 
 N, PERCENT = 5, 75
 #: n-grams in one task of the join, and in a block of a large group.
@@ -229,7 +229,7 @@ def join_block(groups: np.ndarray, second: np.ndarray, sizes: np.ndarray, order:
     return root
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, chunk_bytes: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)

@@ -24,15 +24,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import Words, runs, table, trim
 
-CHUNK_BYTES = 4 << 20
+#: Least and largest chunk. A task holds a few times its chunk's size in arrays of numbers.
+CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 64 << 20
 PACKED = "chunk long, payload binary"
 TO_BUCKET = "bucket long, chunk long, payload binary"
 
 
-def chunks_for(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """How many chunks hold the table at chunk_bytes each: one cheap aggregation."""
+def chunks_for(df: DataFrame, text_col: str, chunk_bytes: int | None = None) -> int:
+    """How many chunks hold the table: one cheap aggregation.
+
+    What a chunk sends to a bucket should be some hundred entries, or their packing costs more than they do. A chunk
+    of c bytes has about c / 5 words for T / (2 c) buckets, so c grows as the root of the text's size T, within bounds.
+    """
     total = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, -(-total // chunk_bytes))
+    size = chunk_bytes or min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, int((700 * total) ** 0.5)))
+    return max(1, -(-total // size))
 
 
 def buckets_for(n_chunks: int) -> int:
@@ -220,7 +226,7 @@ def _reps(payloads) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int | None = None) -> DataFrame:
     """All columns and n_words, n_removed, kept_text (the kept words joined by one space)."""
     outputs = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     kept = [f for f in docs.schema if f.name not in {o.name for o in outputs}]
