@@ -81,3 +81,13 @@ def load(path: str | Path | None = None, **overrides: Any) -> Config:
 
         config = merged(config, yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
     return merged(config, overrides)
+
+
+def resolved(paths: dict[str, str], root: str | Path) -> dict[str, str]:
+    """Relative paths that don't exist as they are but do below the root, put below the root; others unchanged."""
+    out = {}
+    for name, value in paths.items():
+        below = Path(root) / value if value else Path()
+        use_root = value and not Path(value).is_absolute() and not Path(value).exists() and below.exists()
+        out[name] = str(below) if use_root else value
+    return out

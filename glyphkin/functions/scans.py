@@ -288,3 +288,38 @@ def layered(page: PdfPage) -> np.ndarray | None:
         return back
     front = lanczos(front, *back.shape[:2]) if front.shape[:2] != back.shape[:2] else front
     return np.where(mask[..., None] > 0 if back.ndim == 3 else mask > 0, front, back)
+
+
+def tiff_bytes(img: np.ndarray, dpi: int = 0) -> bytes:
+    """An 8-bit grey image as a TIFF file with one Deflate strip."""
+    data = zlib.compress(np.ascontiguousarray(img, np.uint8).tobytes())
+    at = 8 + len(data)
+    tags = [(256, 4, img.shape[1]), (257, 4, img.shape[0]), (258, 3, 8), (259, 3, 8), (262, 3, 1), (273, 4, 8), (277, 3, 1), (279, 4, len(data))]
+    if dpi:
+        place = at + 2 + 12 * 11 + 4
+        tags += [(282, 5, place), (283, 5, place), (296, 3, 2)]
+    body = b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
+    return b"II" + struct.pack("<HI", 42, at) + data + struct.pack("<H", len(tags)) + body + struct.pack("<I", 0) + struct.pack("<II", dpi or 1, 1)
+
+
+def pdf_bytes(images: list[np.ndarray], width_pt: float, height_pt: float, layers: list[tuple[np.ndarray, np.ndarray]] | None = None) -> bytes:
+    """A PDF file with one grey image a page, and on each a second one with a mask if given."""
+
+    def image(number: int, img: np.ndarray, mask: int | None = None) -> bytes:
+        data = zlib.compress(np.ascontiguousarray(img, np.uint8).tobytes())
+        soft = b"/SMask %d 0 R" % mask if mask else b""
+        head = b"<</Type/XObject/Subtype/Image/Width %d/Height %d/BitsPerComponent 8/ColorSpace/DeviceGray%s/Filter/FlateDecode/Length %d>>" % (img.shape[1], img.shape[0], soft, len(data))
+        return b"%d 0 obj\n%s\nstream\n%s\nendstream\nendobj\n" % (number, head, data)
+
+    out, kids = [], []
+    for k, img in enumerate(images):
+        n = 10 + 10 * k
+        names = b"/A %d 0 R" % n
+        out.append(image(n, img))
+        if layers:
+            out += [image(n + 2, layers[k][1]), image(n + 1, layers[k][0], n + 2)]
+            names += b" /B %d 0 R" % (n + 1)
+        out.append(b"%d 0 obj\n<</Type/Page/Parent 2 0 R/Resources<</XObject<<%s>>>>>>\nendobj\n" % (n + 3, names))
+        kids.append(b"%d 0 R" % (n + 3))
+    tree = b"2 0 obj\n<</Type/Pages/Count %d/MediaBox[0 0 %g %g]/Kids[%s]>>\nendobj\n" % (len(kids), width_pt, height_pt, b" ".join(kids))
+    return b"%PDF-1.4\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n" + tree + b"".join(out) + b"trailer<</Root 1 0 R>>\n"

@@ -35,10 +35,10 @@ SCAN = "doc string, page int, name string, width_px double, height_px double, wi
 _NAMES = [x.strip().split(" ")[0] for x in SCAN.split(",")]
 
 
-def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+def read_pdf(spark: SparkSession, path: str, default: Callable[[scans.PdfPage], object] = _first) -> DataFrame:
     """One row a page that has an image, with the page's size in points and its pixels in grey.
 
-    JPEG images are in `jpeg` instead of `pixels`; written as files, Spark's image source reads them.
+    default makes a page's pixels where no handler is registered for the document. JPEG images are in `jpeg` instead of `pixels`; written as files, Spark's image source reads them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").option("recursiveFileLookup", "true").load(path).select("path", "content")
     handlers = dict(SPECIAL)
@@ -52,7 +52,7 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
                     if not page.images:
                         continue
                     first = page.images[0]
-                    img = handlers.get(doc, _first)(page)
+                    img = handlers.get(doc, default)(page)
                     inches = (page.width_pt / 72, page.height_pt / 72)
                     dpi = [px / x if x else None for px, x in zip((first.width, first.height), inches)]
                     img = None if img is None else scans.grey(img)

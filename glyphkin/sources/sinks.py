@@ -78,6 +78,20 @@ def png_column(rows: DataFrame, dpi: float | None = None) -> DataFrame:
     return rows.withColumn("png", encode("height", "width", "pixels"))
 
 
+def npz_column(rows: DataFrame) -> DataFrame:
+    """(doc, page, name, npz): one compressed array file a page from (doc, page, word_idx, char_idx, label, img)."""
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+
+        pdf = pdf.sort_values("char_idx")
+        out = io.BytesIO()
+        np.savez_compressed(out, char_imgs=np.stack(pdf["img"].to_numpy()).astype(np.float32), char_labels=pdf["label"].to_numpy().astype(str), char_word_idx=pdf["word_idx"].to_numpy().astype(np.int32))
+        return pd.DataFrame({"doc": [keys[0]], "page": [keys[1]], "name": [f"{keys[0]}/{keys[1]}_data.npz"], "npz": [out.getvalue()]})
+
+    return rows.groupBy("doc", "page").applyInPandas(run, "doc string, page string, name string, npz binary")
+
+
 FILES = "path string, bytes long"
 
 
