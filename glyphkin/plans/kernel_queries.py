@@ -521,7 +521,7 @@ def o1_corpus_steps(spark, sf_dir):
     inner = "array<struct<char_idx: int, label: string, t: int, b: int, l: int, r: int>>"
     schema = f"doc string, page string, height int, width int, pixels binary, words array<struct<word_idx: int, t: int, b: int, l: int, r: int, chars: {inner}>>"
     root = scratch(spark)
-    rows = table(spark, sf_dir, "nation").selectExpr("n_regionkey AS doc", "explode(array(0, 1, 2)) * 100 + n_nationkey AS key")
+    rows = table(spark, sf_dir, "nation").selectExpr("n_regionkey AS doc", "explode(transform(array(0, 1, 2), i -> i * 100 + n_nationkey)) AS key")
     rows.groupBy("doc").applyInPandas(draw, schema).write.parquet(f"{root}/pages")
     corpus = Corpus(spark, root, pages={"window": (128, 128), "step": (64, 64)}, initial={"components": 2}, refined={"least": 8, "register": False, "depth": 1})
     corpus.run()
