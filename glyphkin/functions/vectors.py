@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; inside a lambda over an array it would be computed for each entry."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -24,12 +31,19 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 
 
 def centred(a: Column) -> Column:
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    return F.transform(a, lambda x: x.cast("double") - mean)
+    return let(mean_of(a), lambda m: F.transform(a, lambda x: x.cast("double") - m))
+
+
+def stretched(a: Column, floor: float = 1e-8) -> Column:
+    """Entries moved and scaled to the range from 0 to 1; NaN stays, and is left out of the range."""
+    numbers = F.filter(a, lambda x: ~F.isnan(x))
+    span = F.struct(F.array_min(numbers).alias("low"), F.array_max(numbers).alias("high"))
+    return let(span, lambda s: F.transform(a, lambda x: (x - s["low"]) / (s["high"] - s["low"] + floor)))
 
 
 def correlation_distance(a: Column, b: Column) -> Column:
-    return cosine_distance(centred(a), centred(b))
+    pair = F.struct(centred(a).alias("a"), centred(b).alias("b"))
+    return let(pair, lambda p: cosine_distance(p["a"], p["b"]))
 
 
 METRICS = {"cosine": cosine_distance, "euclidean": euclidean_distance, "correlation": correlation_distance}
@@ -46,5 +60,4 @@ def mean_of(a: Column) -> Column:
 
 def std_of(a: Column) -> Column:
     """Population standard deviation of an array's entries."""
-    m = mean_of(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / F.size(a))
+    return let(mean_of(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / F.size(a)))

@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..functions.stats import otsu_thresholds
 from ..functions.text import best_label
 from ..operators import clusters as stats, italic, spatial
-from ..functions.vectors import argmax
+from ..functions.vectors import argmax, stretched
 from .registry import query, table
 from .standins import BOXES, CHARS, VALID, WORDS, boxes, chars, words
 
@@ -169,8 +169,7 @@ def p8_boxes_in_crops(spark, sf_dir):
 @query(f"WITH {CHARS} SELECT k, j, doc, cluster, round((l - list_min(v)) / (list_max(v) - list_min(v) + 1e-8), 6) AS first FROM (SELECT *, img[1] AS l, list_filter(img, lambda x: NOT isnan(x)) AS v FROM ch)")
 def p9_stretched(spark, sf_dir):
     """Pixels scaled to the range of their image."""
-    v = F.filter("img", lambda x: ~F.isnan(x))
-    out = F.transform("img", lambda x: (x - F.array_min(v)) / (F.array_max(v) - F.array_min(v) + 1e-8))
+    out = stretched(F.col("img"))
     return chars(spark, sf_dir).select("k", "j", "doc", "cluster", F.round(F.get(out, F.lit(0)), 6).alias("first"))
 
 
