@@ -101,6 +101,15 @@ def j10_files_of_signatures(spark, sf_dir):
     return matching.files_of_signatures(catalogue, files)
 
 
+@query(f"WITH {FILES}, {CATALOGUE.replace(' WHERE p_size < 5', '')} SELECT Signature, file FROM sg LEFT JOIN fl ON file LIKE '%' || replace(replace(replace(Signature, '/', '-'), '_', '!_'), '?', '_') || '.pdf' ESCAPE '!'")
+def j10_files_of_all_signatures(spark, sf_dir):
+    """The whole catalogue; j10_files_of_signatures takes small parts only."""
+    part = table(spark, sf_dir, "part")
+    files = part.selectExpr("concat('scan_', replace(p_brand, '#', '-'), '-', p_partkey % 40, '.pdf') AS file")
+    catalogue = part.selectExpr("CASE WHEN p_partkey % 17 = 0 THEN concat('Brand-?/', p_partkey % 40) WHEN p_partkey % 13 = 0 THEN concat('none/', p_partkey) ELSE concat(replace(p_brand, '#', '/'), '/', p_partkey % 40) END AS Signature")
+    return matching.files_of_signatures(catalogue, files)
+
+
 @query("SELECT p_partkey, '%' || replace(p_brand || '/' || p_partkey::VARCHAR, '/', '-') || '.pdf' AS pattern FROM part")
 def p14_signature_patterns(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.signature_pattern(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"))).alias("pattern"))

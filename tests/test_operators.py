@@ -307,3 +307,21 @@ def test_ordering(spark):
     d = spark.createDataFrame([("b",), ("a",), ("c",)], "doc string")
     i = spark.createDataFrame([("c", 0)], "doc string, index int")
     assert {r.doc: r.place for r in documents.ordered_documents(d, i).collect()} == {"c": 1, "a": 2, "b": 3}
+
+
+def test_whole_catalogue_meets_all_files(spark, sf):
+    """Every signature of every part, against file names one by one."""
+    import fnmatch
+
+    from glyphkin.plans import QUERIES
+
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand").collect()
+    names = {f"scan_{b.replace('#', '-')}-{k % 40}.pdf" for k, b in part}
+    signatures = {f"Brand-?/{k % 40}" if k % 17 == 0 else f"none/{k}" if k % 13 == 0 else f"{b.replace('#', '/')}/{k % 40}" for k, b in part}
+    want = set()
+    for s in signatures:
+        found = fnmatch.filter(names, f"*{s.replace('/', '-')}.pdf")
+        want |= {(s, f) for f in found or [None]}
+    got = [tuple(r) for r in QUERIES["j10_files_of_all_signatures"](spark, sf).select("Signature", "file").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {s for s, _ in got} == signatures
