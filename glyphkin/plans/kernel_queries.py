@@ -119,7 +119,7 @@ def x14_initial_clusters(spark, sf_dir):
 def x16_refined_clusters(spark, sf_dir):
     """Letters stand for root clusters; leaves of eight images or more."""
     c = table(spark, sf_dir, "embeddings").selectExpr("concat('d', vec_id % 2) AS doc", "vec_id AS char_id", "label AS root", "embedding AS img")
-    return glyphs.refined_clusters(c, (SIDE, SIDE), least=8, transform="translation", register=False)
+    return glyphs.refined_clusters(c, (SIDE, SIDE), least=8, transform="translation")
 
 
 @query()
@@ -473,7 +473,7 @@ def x15_leaves(spark, sf_dir):
     """Leaves of each label's tree, and how many of its images they hold."""
 
     def kernel(x):
-        leaves = glyphs.leaves_of(x.reshape(-1, SIDE, SIDE), least=8, register=False)
+        leaves = glyphs.leaves_of(x.reshape(-1, SIDE, SIDE), least=8)
         return len(leaves), int(sum(map(len, leaves)))
 
     return _each_label(spark, sf_dir, kernel, {"leaves": "int", "held": "int"})
@@ -523,6 +523,6 @@ def o1_corpus_steps(spark, sf_dir):
     root = scratch(spark)
     rows = table(spark, sf_dir, "nation").selectExpr("n_regionkey AS doc", "explode(transform(array(0, 1, 2), i -> i * 100 + n_nationkey)) AS key")
     rows.groupBy("doc").applyInPandas(draw, schema).write.parquet(f"{root}/pages")
-    corpus = Corpus(spark, root, pages={"window": (128, 128), "step": (64, 64)}, initial={"components": 2}, refined={"least": 8, "register": False, "depth": 1})
+    corpus = Corpus(spark, root, pages={"window": (128, 128), "step": (64, 64)}, initial={"components": 2}, refined={"least": 8, "depth": 1})
     corpus.run()
     return corpus.table("scores").select("style", "doc_a", "doc_b", "n", "n1hat")

@@ -264,3 +264,44 @@ def test_leaf_order_is_the_best(seed, n):
     got = leaf_order(d)
     assert fits(got) and sorted(got) == list(range(n))
     assert cost(got) == pytest.approx(min(cost(p) for p in itertools.permutations(range(n)) if fits(p)))
+
+
+def grown(imgs, transform, least):
+    """Leaves of the tree, every node registered."""
+
+    def grow(node, level):
+        if len(node) < least:
+            return []
+        if level < 10:
+            part = register_all(imgs[node], transform)
+            x = principal_components(part.reshape(len(part), -1), 9)
+            if any(NORMALITY["ad"](x[:, k]) < SPLIT_BELOW for k in range(5)):
+                _, labels = Mixture.fit(x, 2, seed=0)
+                if len(set(labels.tolist())) == 2:
+                    return grow(node[labels == 0], level + 1) + grow(node[labels == 1], level + 1)
+        return [node]
+
+    return grow(np.arange(len(imgs)), 0)
+
+
+def test_queries_grow_trees_of_registered_images(spark, tmp_path):
+    from glyphkin.plans import QUERIES
+
+    rng = np.random.default_rng(1)
+    imgs = [blob(8, 8, 3.5 + d, 4) + rng.normal(0, 0.02, (8, 8)) for d in [-0.5] * 20 + [0.5] * 20]
+    rows = [(k, 0, [float(v) for v in x.ravel()]) for k, x in enumerate(imgs)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sf, imgs = f"file://{tmp_path}", np.stack(imgs)
+    want = grown(imgs, "euclidean", 8)
+    assert [leaf.tolist() for leaf in leaves_of(imgs, least=8)] == [leaf.tolist() for leaf in want]
+    bare = leaves_of(imgs, least=8, register=False)
+    assert [len(leaf) for leaf in bare] != [len(leaf) for leaf in want]
+    row = QUERIES["x15_leaves"](spark, sf).first()
+    assert (row.leaves, row.held) == (len(want), sum(map(len, want)))
+    cluster = {}
+    for doc in (0, 1):
+        ids = np.arange(doc, len(imgs), 2)
+        cluster |= {int(i): -1 for i in ids}
+        cluster |= {int(i): k for k, leaf in enumerate(grown(imgs[ids], "translation", 8)) for i in ids[leaf]}
+    got = {r.char_id: r.cluster for r in QUERIES["x16_refined_clusters"](spark, sf).collect()}
+    assert got == cluster
