@@ -90,17 +90,18 @@ def count_shared(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(trimmed(run), PACKED)
 
 
-def _class_rows(t: pa.Table, reps: pa.Table) -> tuple[list, list]:
-    """Ids and texts of the chunk's class representatives, each text once."""
+def _class_rows(t: pa.Table, reps: pa.Table) -> tuple[list, list, list]:
+    """Ids, keys and texts of the chunk's class representatives, each text once; an id may stand for several texts."""
     rows = undeal(t.column("payload"), "id", "text")
-    wanted = dict(zip(reps.column("id").to_pylist(), reps.column("key").to_pylist()))
-    ids, texts, seen = [], [], set()
+    wanted = set(zip(reps.column("id").to_pylist(), reps.column("key").to_pylist()))
+    ids, own, texts = [], [], []
     for i, key, text in zip(rows.column("id").to_pylist(), rows.column("key").to_pylist(), rows.column("text").to_pylist()):
-        if (i, key) not in seen and (i, key) in wanted.items():
-            seen.add((i, key))
+        if (i, key) in wanted:
+            wanted.remove((i, key))
             ids.append(i)
+            own.append(key)
             texts.append(text)
-    return ids, texts
+    return ids, own, texts
 
 
 class Trie:
@@ -242,7 +243,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = deal(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), "id", chunks)
 
     def first(t: pa.Table, mine: pa.Table) -> pa.Table:
-        _, texts = _class_rows(t, mine)
+        _, _, texts = _class_rows(t, mine)
         s = Sets(texts, n)
         keys, at = s.keys[s.start], s.start
         return by_bucket(t.column("chunk")[0].as_py(), keys, at, buckets, (keys, 5), (np.minimum(s.count, 65535), 2))
@@ -254,7 +255,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def second(t: pa.Table, more: pa.Table) -> pa.Table:
         kinds = more.column("payload").is_valid()
-        ids, texts = _class_rows(t, more.filter(pa.compute.invert(kinds)))
+        ids, own, texts = _class_rows(t, more.filter(pa.compute.invert(kinds)))
         s = Sets(texts, n)
         level = rarity(s.count)
         for x in more.filter(kinds).column("payload"):
@@ -269,11 +270,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         edges = np.searchsorted(s.text[use], np.arange(len(ids) + 1))
         keys, levels = s.keys[use].view(np.int64), level[use].astype(np.int16)
         arrays = (pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x)) for x in (keys, levels))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(s.size, pa.int64()), pa.array(np.where(stays, prefix - alone, 0), pa.int64()), *arrays], names=["id", "size", "prefix", "tokens", "levels"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(s.size, pa.int64()), pa.array(np.where(stays, prefix - alone, 0), pa.int64()), *arrays], names=["id", "key", "size", "prefix", "tokens", "levels"])
 
-    sets = stored(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(trimmed_pair(second), "id long, size long, prefix long, tokens array<long>, levels array<short>"))
-    found = components(_linked(sets, percent, block_tokens))
-    return _attach(rows, reps, sets.groupBy("id").agg(F.max("size").alias("size")), found, id_col)
+    sets = stored(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(trimmed_pair(second), "id long, key string, size long, prefix long, tokens array<long>, levels array<short>"))
+    sizes = sets.select("key", "id", "size")
+    found = components(_linked(sets, percent, block_tokens).unionByName(_same_id(rows, sizes)))
+    return _attach(rows, sizes, found, id_col)
+
+
+def _same_id(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): ids of several texts and the vertices of these texts' classes."""
+    name = F.xxhash64("key")
+    several = rows.filter(F.col("id").isNotNull() & F.col("key").isNotNull()).groupBy("id").agg(F.min(name).alias("least"), F.max(name).alias("most")).filter("least <> most").select("id")
+    texts = rows.join(several, "id", "left_semi").select(F.col("id").alias("a"), "key").distinct()
+    return texts.join(sizes.filter("size > 0").select("key", F.col("id").alias("b")), "key").filter("a <> b").select("a", "b")
 
 
 def _linked(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
@@ -293,10 +303,10 @@ def _linked(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
     sizes = sizes.withColumn("bin", F.when(F.col("blocks") > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(bins)))).drop("total")
     cast = many.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     cast = cast.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cast = cast.select("bin", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), "mine", "grp", "id", "size", "tokens", "levels")
+    cast = cast.select("bin", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), "mine", "grp", "id", "key", "size", "tokens", "levels")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("id", "ascending"), ("size", "ascending")])
+        t = t.sort_by([("id", "ascending"), ("key", "ascending")])
         ids = t.column("id").to_numpy()
         tokens, levels = t.column("tokens").combine_chunks(), t.column("levels").combine_chunks()
         at = np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))])
@@ -308,10 +318,9 @@ def _linked(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
     return cast.groupBy("bin", "row", "col").applyInArrow(trimmed(run), "a long, b long")
 
 
-def _attach(rows: DataFrame, reps: DataFrame, sizes: DataFrame, found: DataFrame, id_col: str, salts: int = 16) -> DataFrame:
+def _attach(rows: DataFrame, sizes: DataFrame, found: DataFrame, id_col: str, salts: int = 16) -> DataFrame:
     """Every row with what its class has; classes are salted, as one may hold a third of all rows."""
-    own = sizes.join(found, F.col("vertex") == F.col("id"), "left").select("id", "size", F.coalesce("component", "id").alias("component"))
-    classes = reps.select("key", "id").join(own, "id").drop("id")
+    classes = sizes.join(found, F.col("vertex") == F.col("id"), "left").select("key", "size", F.coalesce("component", "id").alias("component"))
     classes = classes.withColumn("salt", F.explode(F.array([F.lit(i).cast("long") for i in range(salts)])))
     out = rows.select("id", "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(classes, ["key", "salt"], "left")
     size = F.coalesce("size", F.lit(0)).cast("long")

@@ -152,6 +152,23 @@ def test_join_edge_cases(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(None, 2, None), (1, 2, 1), (1, 2, 1), (2, 2, 1)], key=repr)
 
 
+def test_an_id_with_several_texts(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n o", "p q r s t u v w x")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, "y " + b), (4, c), (5, c), (5, "v w x y z a b c d e"), (6, "v w x y z a b c d e"), (7, "q")]
+    got = ngrams.ngram_components(table(spark, rows), chunk_bytes=400, block_tokens=80).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, 3, 1), (1, 4, 1), (2, 4, 1), (3, 5, 1), (4, 5, 4), (5, 5, 4), (5, 6, 4), (6, 6, 4), (7, 1, 7)])
+    # every id has two texts, as with ids that begin anew in a second file
+    rng = random.Random(4)
+    text = lambda k: " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(k))
+    first, second = ([text(rng.randrange(8, 30)) for _ in range(40)] for _ in range(2))
+    rows = [(i, t) for part in (first, second) for i, t in enumerate(part)] + [(100 + i, t + " zz") for i, t in enumerate(first + second)]
+    got = ngrams.ngram_components(table(spark, rows), chunk_bytes=400, block_tokens=80).collect()
+    size = {t: len({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for _, t in rows}
+    near = {i: i % 40 for i in range(80) if 100 * size[(first + second)[i]] >= 75 * (size[(first + second)[i]] + 1)}
+    want = [(i, size[t], i if i < 100 else near.get(i - 100, i)) for i, t in rows]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 # 9: decontamination
 
 
