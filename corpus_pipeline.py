@@ -1,13 +1,15 @@
 """A cleaning pipeline over `documents`: each stage reads what its predecessor wrote.
 
 1. toxicity: documents that the classifier rejects go. It learns from the labelled rows that are not held out.
-2. ngram_join: of each component of like documents the one with the smallest id stays.
+2. ngram_join: of each component of like documents the one with the smallest id stays, each text of it once.
 3. substring_dedup: words in passages of 35 words or more that repeat anywhere go; every document stays.
 4. decontaminate: documents that hold a benchmark item go.
 5. bpe: token ids of what is left.
 
-Rows that share an id are one document: they go or stay together where a stage decides by id (2). Documents with
-null or empty text are kept by every filter; a null text stays null until the last stage, where it has no ids.
+Rows that share an id are one document: they go or stay together where a stage decides by id (2), and rows that repeat
+id and text become one row there. A row without an id is a document named by its text, whose name comes after the ids,
+so that it goes where a like document has one. Documents with null or empty text are kept by every filter; a null text
+stays null until the last stage, where it has no ids.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from glyphkin.llm.toxicity import score_toxicity, train_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Names of texts without an id lie from here on.
+NAMES = 1 << 62
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
@@ -34,9 +39,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_components(docs)
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
+    made = F.when(F.length("text") > 0, F.xxhash64("text").bitwiseAND(F.lit(NAMES - 1)).bitwiseOR(F.lit(NAMES)))
+    rows = docs.select(COLUMNS).withColumn("__id", F.coalesce("doc_id", made))
+    found = ngram_components(rows, "__id")
+    others = found.filter(F.col("__id") != F.col("component_id")).select("__id").distinct()
+    key = F.sha2(F.col("text").cast("binary"), 256).alias("__key")
+    once = rows.filter(F.col("__id").isNotNull()).groupBy("__id", key).agg(F.min(F.struct(COLUMNS)).alias("row")).select("__id", "row.*")
+    kept = once.join(others, "__id", "left_anti").select(COLUMNS)
+    return kept.unionByName(rows.filter(F.col("__id").isNull()).select(COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,6 +187,24 @@ def test_stages(spark, tmp_path):
     assert set(last) == {0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 13, 14} and last[13].n_tokens == 0 and all(r.n_tokens == len(r["ids"]) for r in last.values())
 
 
+def test_repeated_rows_keep_their_text(spark):
+    """Of rows that repeat, with one id or none, one stays, and the next stage leaves its text whole."""
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    near = lambda t: f"{t} more"
+    rows = [(1, a), (1, a), (2, b), (2, c), (2, c), (3, near(b)), (None, a), (None, near(a)), (None, d), (None, d), (None, near(d)), (4, e), (None, None), (None, None), (None, ""), (None, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["ngram_join"](spark, docs, "")
+    got = [(r.doc_id, r.text) for r in one.collect()]
+    unnamed = [t for i, t in got if i is None and t]
+    assert unnamed in ([d], [near(d)])
+    want = sorted([(1, a), (2, b), (2, c), (4, e), (None, None), (None, None), (None, ""), (None, ""), (5, ""), (6, None), (None, unnamed[0])], key=repr)
+    assert sorted(got, key=repr) == want
+    cut = stages["substring_dedup"](spark, one, "")
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == want
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     sf = f"file://{tmp_path}"
     for name, schema in (("documents", COLUMNS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, toxic int")):
