@@ -151,11 +151,11 @@ def initial_clusters(chars: DataFrame, share: float = 0.9, components: int = 70,
     return chars.select("doc", "char_id", "img").groupBy("doc").applyInPandas(run, "doc string, char_id long, root int")
 
 
-def leaves_of(imgs: np.ndarray, transform: str = "euclidean", least: int = 20, components: int = 9, tests: int = 5, test: str = "ad", below: float = SPLIT_BELOW, seed: int = 0, depth: int = 10, large: int = 1000, register: bool = True) -> list[np.ndarray]:
+def leaves_of(imgs: np.ndarray, transform: str = "euclidean", least: int = 20, components: int = 9, tests: int = 5, test: str = "ad", below: float = SPLIT_BELOW, seed: int = 0, depth: int = 10, large: int = 1000, register: bool = True, register_large: bool = False) -> list[np.ndarray]:
     """Indices of the final groups of one cluster, parted in two as long as a leading component isn't normal.
 
-    Nodes of `large` images or more are not registered (or by translation only, if register). Groups under `least`
-    images are dropped.
+    Nodes of `large` images or more are not registered, or by translation only if register_large, which concerns no
+    other nodes; without register none is. Groups under `least` images are dropped.
     """
     done: list[np.ndarray] = []
     open_: list[tuple[np.ndarray, int]] = [(np.arange(len(imgs)), 0)]
@@ -164,8 +164,8 @@ def leaves_of(imgs: np.ndarray, transform: str = "euclidean", least: int = 20, c
         halves = None
         if len(node) >= least and level < depth:
             part = imgs[node]
-            if register and len(node) < large:
-                part = register_all(part, transform)
+            if register and (len(node) < large or register_large):
+                part = register_all(part, transform if len(node) < large else "translation")
             x = principal_components(part.reshape(len(part), -1), max(components, tests))
             if any(NORMALITY[test](x[:, k]) < below for k in range(min(tests, x.shape[1]))):
                 _, labels = Mixture.fit(x[:, :components], 2, seed=seed)

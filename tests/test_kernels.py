@@ -305,3 +305,15 @@ def test_queries_grow_trees_of_registered_images(spark, tmp_path):
         cluster |= {int(i): k for k, leaf in enumerate(grown(imgs[ids], "translation", 8)) for i in ids[leaf]}
     got = {r.char_id: r.cluster for r in QUERIES["x16_refined_clusters"](spark, sf).collect()}
     assert got == cluster
+
+
+@pytest.mark.parametrize("more,want", [({}, {"homothety"}), ({"register_large": True}, {"homothety", "translation"})])
+def test_large_nodes_are_registered_by_translation(monkeypatch, more, want):
+    from glyphkin.operators import glyphs
+
+    seen = []
+    monkeypatch.setattr(glyphs, "register_all", lambda part, transform: seen.append((len(part), transform)) or part)
+    rng = np.random.default_rng(1)
+    imgs = np.stack([x + rng.normal(0, 0.02, x.shape) for x in [blob(10, 8, 3, 4)] * 40 + [blob(10, 8, 5, 6)] * 40])
+    leaves_of(imgs, "homothety", large=60, **more)
+    assert {t for _, t in seen} == want and all((n >= 60) == (t == "translation") for n, t in seen)
