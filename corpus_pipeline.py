@@ -4,7 +4,7 @@
 2. ngram_join: of each component of like documents the one with the smallest id stays, each text of it once.
 3. substring_dedup: words in passages of 35 words or more that repeat anywhere go; every document stays.
 4. decontaminate: documents that hold a benchmark item go.
-5. bpe: token ids of what is left.
+5. bpe: token ids of what is left, and the text that they decode to (empty for a null text).
 
 Rows that share an id are one document: they go or stay together where a stage decides by id (2), and rows that repeat
 id and text become one row there. A row without an id is a document named by its text, whose name comes after the ids,
@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphkin.llm.bpe import bpe_encode
+from glyphkin.llm.bpe import bpe_decode, bpe_encode
 from glyphkin.llm.common import held_out, stored, table
 from glyphkin.llm.decontam import decontaminate
 from glyphkin.llm.ngrams import ngram_components
@@ -61,8 +61,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe_encode(docs.select("doc_id", "lang", "source", "text"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    out = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text")))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

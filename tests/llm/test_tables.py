@@ -205,6 +205,12 @@ def test_repeated_rows_keep_their_text(spark):
     assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == want
 
 
+def test_last_stage_gives_the_text_back(spark):
+    rows = [(1, "Ünïcode, 12 words\nand  spaces", "en", "s", 29), (2, None, "en", "s", None), (3, "", "en", "s", 0)]
+    out = dict(corpus_pipeline.STAGES)["bpe"](spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert {r.doc_id: r.decoded for r in out.collect()} == {1: rows[0][1], 2: "", 3: ""}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     sf = f"file://{tmp_path}"
     for name, schema in (("documents", COLUMNS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, toxic int")):
