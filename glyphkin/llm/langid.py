@@ -169,8 +169,9 @@ def sample_by(df: DataFrame, id_col: str, text_col: str, by: str, limit: int, mo
     return sorted((k, [t for *_, t in sorted(v)[:limit]]) for k, v in out.items())
 
 
-def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> NaiveBayes:
-    return NaiveBayes.fit(sample_by(docs, id_col, text_col, lang_col, per_lang))
+def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_langs: int = 1000) -> NaiveBayes:
+    """Learned from at most `per_lang` texts of each of the `most_langs` most frequent languages; rarer ones are never predicted."""
+    return NaiveBayes.fit(sample_by(docs, id_col, text_col, lang_col, per_lang, most_langs))
 
 
 def identify_languages(df: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:

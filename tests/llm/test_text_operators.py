@@ -386,6 +386,13 @@ def test_language_accuracy(spark):
     assert r[0] > 0.97 and 0 <= r[1] <= r[2] <= 1
 
 
+def test_languages_are_bounded(spark):
+    rows = [(1, "one two", "en"), (2, "three four", "en"), (3, "un deux", "fr"), (4, "eins zwei", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train_language_model(docs, most_langs=1).langs == ["en"]
+    assert langid.train_language_model(docs).langs == ["de", "en", "fr"]
+
+
 def test_languages_of_odd_texts(spark):
     model = langid.NaiveBayes.fit([("en", ["the cat and the dog"]), ("de", ["der hund und die katze"])])
     langs, scores = model.score(["the dog", "DER HUND", "", "12 ##", "é"])
