@@ -112,7 +112,7 @@ def _glyph_chars(spark, sf_dir):
 
 @query()
 def x14_initial_clusters(spark, sf_dir):
-    return glyphs.initial_clusters(_glyph_chars(spark, sf_dir), components=10, most=30)
+    return glyphs.initial_clusters(_glyph_chars(spark, sf_dir))
 
 
 @query()
@@ -501,7 +501,8 @@ def x19_split_threshold(spark, sf_dir):
 @query()
 def o1_corpus_steps(spark, sf_dir):
     """The whole analysis below one folder: a page for each region, three words for each of its nations; every
-    step a table; the last table's rows."""
+    step a table; the last table's rows. A document has about thirty glyphs, so its mixture has two components
+    and its trees one level: deeper ones leave no leaf of eight glyphs, and no clusters at all."""
     from .corpus import Corpus
 
     def draw(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -317,3 +317,16 @@ def test_large_nodes_are_registered_by_translation(monkeypatch, more, want):
     imgs = np.stack([x + rng.normal(0, 0.02, x.shape) for x in [blob(10, 8, 3, 4)] * 40 + [blob(10, 8, 5, 6)] * 40])
     leaves_of(imgs, "homothety", large=60, **more)
     assert {t for _, t in seen} == want and all((n >= 60) == (t == "translation") for n, t in seen)
+
+
+def test_initial_clusters_of_the_operators_settings(spark, sf):
+    from glyphkin.plans import QUERIES
+
+    got = {}
+    for r in QUERIES["x14_initial_clusters"](spark, sf).collect():
+        got.setdefault(r.doc, set()).add(r.root)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    for k in (0, 1):
+        x = principal_components(np.array([r.embedding for r in rows if r.vec_id % 2 == k], float), 0.9)
+        want = set(Mixture.fit(x, 70, 200, seed=42)[1].tolist())
+        assert len(got[f"d{k}"]) == len(want) > 10
