@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import Alphas
@@ -24,21 +22,26 @@ def alpha_table(spark: SparkSession, grid: Alphas = Alphas()) -> DataFrame:
     return rows.select((F.row_number().over(Window.orderBy("alpha")) - 1).alias("a"), "alpha")
 
 
-#: The largest number of trials that binomial_tail handles: letters of an alphabet, not rows.
-MAX_TRIALS = 512
-
-
-def _log_factorials() -> Column:
-    return F.array(*(F.lit(math.lgamma(i + 1)) for i in range(MAX_TRIALS + 1)))
-
-
 def binomial_tail(k: Column, n: Column, alpha: Column) -> Column:
-    """P(X >= k) for X binomial with n trials of chance alpha; 1 for k <= 0, 0 for k > n."""
-    logs = _log_factorials()
-    at = lambda i: F.get(logs, i.cast("int"))
-    term = lambda i: F.exp(at(n) - at(i) - at(n - i) + i * F.log(alpha) + (n - i) * F.log1p(-alpha))
-    some = F.aggregate(F.sequence(F.least(k, n).cast("int"), n.cast("int")), F.lit(0.0), lambda s, i: s + term(i))
-    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).otherwise(some)
+    """P(X >= k) for X binomial with n trials of chance alpha; 1 for k <= 0, 0 for k > n. For any number of trials.
+
+    The logarithm of P(X = k) is a sum over the factors of its binomial coefficient; that of each next term follows
+    from the one before, so terms far out in a tail may vanish without taking the others with them.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    odds = F.log(alpha) - F.log1p(-alpha)
+    upto = lambda a, b: F.sequence(a.cast("int"), F.greatest(a, b).cast("int"))
+    ways = F.aggregate(upto(F.lit(1.0), k), F.lit(0.0), lambda s, j: s + F.log((n - k + j) / j))
+    first = ways + k * F.log(alpha) + (n - k) * F.log1p(-alpha)
+    start = F.struct(first.alias("log"), F.exp(first).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        # from P(X = i - 1) to P(X = i); past n nothing is added
+        log = s["log"] + F.log((n - i + 1) / i) + odds
+        return F.when(i > n, s).otherwise(F.struct(log.alias("log"), (s["sum"] + F.exp(log)).alias("sum")))
+
+    tail = F.aggregate(upto(k + 1, n), start, step, lambda s: s["sum"])
+    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).otherwise(F.least(tail, F.lit(1.0)))
 
 
 def otsu_thresholds(rows: DataFrame, by: str, value: str, bins: int = 256) -> DataFrame:
