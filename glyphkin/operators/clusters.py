@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine_distance, norm, std_of
+from .arrays import mean_arrays
+from .distances import tiled
 
 
 def informative(img: Column, least_std: float = 0.01, background: float = 0.05, most_background: float = 0.99) -> Column:
@@ -22,9 +24,8 @@ def majority_labels(chars: DataFrame, by: tuple[str, ...] = ("doc", "cluster"),
 
 
 def mean_images(chars: DataFrame, by: tuple[str, ...] = ("doc", "cluster"), img: str = "img") -> DataFrame:
-    """(by, mean): element-wise means, pre-summed on the map side."""
-    place = chars.select(*by, F.posexplode(img).alias("i", "x")).groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return place.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(*by, F.col("p.x").alias("mean"))
+    """(by, mean): element-wise means, summed a task at a time before they are sent on."""
+    return mean_arrays(chars, list(by), img, "mean")
 
 
 def italic_ratios(chars: DataFrame, by: tuple[str, ...] = ("doc", "cluster"), flag: str = "is_italic") -> DataFrame:
@@ -68,23 +69,23 @@ def representatives(candidates: DataFrame, strategy: str = "median", q: float =
     median: least q-quantile of the cosine distances to the letter's candidates in other documents (none: last).
     argmin: most pairs won, where of two candidates the one of the document that comes first wins; on equal
     counts, as on equal quantiles, the smallest cluster_id.
+    Pairs are made in tiles of documents, so tasks grow in number with the documents of a letter; a candidate's
+    quantile is over one value a candidate of its letter.
     """
-    slim = candidates.select("letter", "doc", "cluster_id", "v", norm(F.col("v")).alias("size"))
-    a, b = slim.alias("a"), slim.alias("b")
-    pairs = a.join(b, (F.col("a.letter") == F.col("b.letter")) & (F.col("a.doc") != F.col("b.doc")))
-    key = [F.col("a.letter").alias("letter"), F.col("a.doc").alias("doc"), F.col("a.cluster_id").alias("cluster_id")]
-    if strategy == "median":
-        d = cosine_distance(F.col("a.v"), F.col("b.v"), F.col("a.size"), F.col("b.size"))
-        d = d if digits is None else F.round(d, digits)
-        worth = pairs.select(*key, d.alias("d")).groupBy("letter", "doc", "cluster_id").agg(F.percentile("d", F.lit(q)).alias("worth"))
-        worth = worth if digits is None else worth.withColumn("worth", F.round("worth", digits))
-    elif strategy == "argmin":
-        first = F.struct("a.doc", "a.cluster_id") < F.struct("b.doc", "b.cluster_id")
-        worth = pairs.select(*key, first.alias("won")).groupBy("letter", "doc", "cluster_id").agg((-F.count_if("won")).cast("double").alias("worth"))
-    else:
+    if strategy == "argmin":
+        # all of a document's candidates win against the same ones, those of the documents that come later
+        return candidates.groupBy("letter", "doc").agg(F.min("cluster_id").alias("cluster_id"))
+    if strategy != "median":
         raise ValueError(f"no strategy {strategy!r}")
+    slim = candidates.select("letter", "doc", "cluster_id", "v", norm(F.col("v")).alias("size"))
+    a, b = (x.alias(n) for x, n in zip(tiled(slim, ["letter"]), "ab"))
+    pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("letter", "row", "col")] + [F.col("a.doc") != F.col("b.doc")])
+    d = cosine_distance(F.col("a.v"), F.col("b.v"), F.col("a.size"), F.col("b.size"))
+    d = d if digits is None else F.round(d, digits)
+    worth = pairs.select("a.letter", "a.doc", "a.cluster_id", d.alias("d")).groupBy("letter", "doc", "cluster_id").agg(F.percentile("d", F.lit(q)).alias("worth"))
+    worth = worth if digits is None else worth.withColumn("worth", F.round("worth", digits))
     rows = slim.select("letter", "doc", "cluster_id").join(worth, ["letter", "doc", "cluster_id"], "left")
-    worst = F.coalesce("worth", F.lit(float("inf")) if strategy == "median" else F.lit(0.0))
+    worst = F.coalesce("worth", F.lit(float("inf")))
     return rows.groupBy("letter", "doc").agg(F.min(F.struct(worst.alias("w"), "cluster_id")).alias("m")).select("letter", "doc", "m.cluster_id")
 
 

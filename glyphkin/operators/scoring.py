@@ -7,24 +7,72 @@ away so that for every alpha the rest is explained by chance, P(Bin(n - n1, alph
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Alphas
 from ..functions.stats import alpha_values, binomial_tail
 
 
-def quantiles(distances: DataFrame, grid: Alphas = Alphas(), digits: int | None = None) -> DataFrame:
+#: The most distances of a letter whose values one task may hold at a time.
+LARGEST_GROUP = 1 << 20
+#: Equal parts that a letter's range is cut into, and each of them that holds a wanted rank again.
+PARTS = 4096
+
+
+def quantiles(distances: DataFrame, grid: Alphas = Alphas(), digits: int | None = None, largest: int = LARGEST_GROUP) -> DataFrame:
     """(style, letter, a, alpha, q): exact, linearly interpolated quantiles of each letter's distances.
 
-    Distances are finite by construction. percentile() keeps value counts, merged map-side.
+    Distances are finite by construction. The sizes of the letters are counted first: where all have at most `largest`
+    distances, percentile() holds a letter's values in a task; else they are selected by rank (ranked_quantiles).
     """
     alphas = alpha_values(grid)
-    rows = distances.groupBy("style", "letter").agg(F.percentile("dist", F.array(*map(F.lit, alphas))).alias("q"))
-    rows = rows.select("style", "letter", F.posexplode("q").alias("a", "q"))
+    top = distances.groupBy("style", "letter").count().agg(F.max("count")).first()[0] or 0
+    if top > largest:
+        rows = ranked_quantiles(distances, ["style", "letter"], "dist", alphas)
+    else:
+        rows = distances.groupBy("style", "letter").agg(F.percentile("dist", F.array(*map(F.lit, alphas))).alias("q"))
+        rows = rows.select("style", "letter", F.posexplode("q").alias("a", "q"))
     q = F.col("q") if digits is None else F.round("q", digits)
     return rows.select("style", "letter", "a", F.get(F.array(*map(F.lit, alphas)), F.col("a")).alias("alpha"), q.alias("q"))
 
 
+def ranked_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, a, q): exact quantiles of finite values of groups of any size, by two histograms and a few values.
+
+    A group's range is cut into equal parts, each part that holds a wanted rank into parts again; only the values of
+    these smallest parts are put in order, by value and count. Histograms are pre-summed on the map side, and what is
+    joined back has two rows a share and group.
+    """
+    span = rows.groupBy(*by).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.count(value).alias("n")).filter("n > 0")
+    share = F.explode(F.array(*(F.struct(F.lit(i).alias("a"), F.lit(x).alias("share")) for i, x in enumerate(shares)))).alias("s")
+    place = (F.col("n") - 1) * F.col("s.share")
+    wanted = span.select(*by, "n", share).select(*by, "s.a", F.floor(place).alias("r"), (place - F.floor(place)).alias("rest"), "n")
+    wanted = wanted.select(*by, "a", "rest", F.explode(F.array("r", F.least(F.col("r") + 1, F.col("n") - 1))).alias("rank"), "r")
+    ranks = wanted.select(*by, "rank").distinct()
+    # the same double for the same value everywhere, and never less for a larger one
+    at = F.when(F.col("high") > F.col("low"), (F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * PARTS).otherwise(F.lit(0.0))
+    part = F.least(F.floor("x"), F.lit(PARTS - 1)).cast("int")
+    fine = F.least(F.floor((F.col("x") - F.col("p1")) * PARTS), F.lit(PARTS - 1)).cast("int")
+    placed = rows.filter(F.col(value).isNotNull()).join(span.drop("n"), by).withColumn("x", at).withColumn("p1", part).withColumn("p2", fine).select(*by, "p1", "p2", F.col(value).cast("double").alias("v"))
+
+    def choose(counts: DataFrame, keys: list[str], part: str, ranks: DataFrame) -> DataFrame:
+        """(keys, part, rank): where each rank lies, and which one it is in there."""
+        upto = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("upto", F.sum("n").over(upto))
+        held = ranks.join(counts, keys).filter((F.col("inner") >= F.col("upto") - F.col("n")) & (F.col("inner") < F.col("upto")))
+        return held.select(*keys, part, "rank", (F.col("inner") - F.col("upto") + F.col("n")).alias("inner"))
+
+    first = choose(placed.groupBy(*by, "p1").agg(F.count("*").alias("n")), by, "p1", ranks.withColumn("inner", F.col("rank")))
+    near = placed.join(first.select(*by, "p1").distinct(), [*by, "p1"], "left_semi")
+    second = choose(near.groupBy(*by, "p1", "p2").agg(F.count("*").alias("n")), [*by, "p1"], "p2", first)
+    nearest = near.join(second.select(*by, "p1", "p2").distinct(), [*by, "p1", "p2"], "left_semi")
+    third = choose(nearest.groupBy(*by, "p1", "p2", "v").agg(F.count("*").alias("n")), [*by, "p1", "p2"], "v", second)
+    ends = wanted.join(third.select(*by, "rank", "v"), [*by, "rank"])
+    low, high = (F.max(F.when(F.col("rank") == r, F.col("v"))) for r in (F.col("r"), F.col("r") + 1))
+    ends = ends.groupBy(*by, "a", "rest").agg(low.alias("low"), high.alias("high"))
+    return ends.select(*by, "a", F.when(F.col("rest") > 0, F.col("high") * F.col("rest") + F.col("low") * (1 - F.col("rest"))).otherwise(F.col("low")).alias("q"))
+
+
 def cross_quantiles(target: DataFrame, reference: DataFrame, grid: Alphas = Alphas(), digits: int | None = None) -> DataFrame:
     """Quantiles of the reference corpus for letters that it has, else of the target; `from_reference` says which."""
     own, ref = quantiles(target, grid, digits), quantiles(reference, grid, digits)
