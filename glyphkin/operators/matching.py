@@ -7,22 +7,49 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import signature_pattern
 
 
+#: Length of the pieces by which strings that hold one another are joined.
+GRAM = 6
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct pieces of that length of a text, none if it is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def candidates_by_gram(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) for every text that holds the rarest gram of all pieces of a needle; the caller verifies.
+
+    needles: (needle, pieces), pieces literal strings that a text must hold; texts: (text). Both distinct. A gram has
+    GRAM characters, or is a whole shorter piece. Empty pieces say nothing; a needle without others meets every text.
+    """
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: _grams(F.col("text"), k))
+    held = texts.select("text", F.explode(F.concat(F.flatten(sizes), F.array(F.lit("")))).alias("gram"))
+    count = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.flatten(F.transform("pieces", lambda p: _grams(p, F.least(F.length(p), F.lit(GRAM)))))
+    some = F.filter("pieces", lambda p: p != "")
+    asked = needles.select("needle", "pieces").withColumn("pieces", some)
+    asked = asked.select("needle", F.explode(F.when(F.size("pieces") > 0, own).otherwise(F.array(F.lit("")))).alias("gram"))
+    rare = asked.join(count, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("m")).select("needle", F.col("m.gram").alias("gram"))
+    return rare.join(held, "gram").select("needle", "text")
+
+
 def files_of_signatures(catalogue: DataFrame, files: DataFrame) -> DataFrame:
     """(Signature, file): files whose name ends as the signature says, null where there is none.
 
-    The last part of the signature, up to any wildcard, is an equi key where there is no wildcard at all;
-    signatures with wildcards are held against all files, which needs the planner's nested loop.
+    Signatures without wildcards are joined on the ends of file names, of every length; those with wildcards on the
+    rarest piece of what they say literally, and the pattern is verified.
     """
     plain = ~F.col("Signature").rlike(r"[*?\[]")
-    tail = lambda c: F.element_at(F.split(c, "-"), -1)
-    rows = catalogue.select("Signature", F.concat(F.replace("Signature", F.lit("/"), F.lit("-")), F.lit(".pdf")).alias("suffix"), plain.alias("plain")).distinct()
-    exact = rows.filter("plain").withColumn("tail", tail(F.col("suffix")))
-    names = files.select("file").distinct()
-    # a signature without a dash may end inside the last part, so parts are compared where there is a dash before them
-    dashed = exact.filter(F.contains("suffix", F.lit("-"))).join(names.withColumn("tail", tail(F.col("file"))), "tail").filter(F.endswith("file", F.col("suffix")))
-    whole = exact.filter(~F.contains("suffix", F.lit("-"))).join(names, F.endswith("file", F.col("suffix")))
-    wild = rows.filter("not plain").withColumn("pattern", signature_pattern(F.col("Signature"))).join(names, F.expr("file like pattern"))
-    found = dashed.select("Signature", "file").unionByName(whole.select("Signature", "file")).unionByName(wild.select("Signature", "file"))
+    suffix = F.concat(F.replace("Signature", F.lit("/"), F.lit("-")), F.lit(".pdf"))
+    rows = catalogue.select("Signature", suffix.alias("suffix"), plain.alias("plain")).distinct()
+    names = files.select("file").filter(F.length("file") > 0).distinct()
+    ends = names.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length("file")), lambda i: F.substring("file", i, F.length("file")))).alias("suffix"))
+    exact = rows.filter("plain").join(ends, "suffix").select("Signature", "file")
+    wild = rows.filter("not plain").select("Signature", F.col("suffix").alias("needle"), F.split("suffix", "[*?]").alias("pieces"))
+    near = candidates_by_gram(wild.select("needle", "pieces"), names.withColumnRenamed("file", "text"))
+    near = wild.join(near, "needle").withColumn("pattern", signature_pattern(F.col("Signature"))).filter(F.expr("text like pattern"))
+    found = exact.unionByName(near.select("Signature", F.col("text").alias("file")).distinct())
     return catalogue.select("Signature").distinct().join(found, "Signature", "left")
 
 
@@ -30,14 +57,21 @@ def with_metadata(documents: DataFrame, metadata: DataFrame) -> DataFrame:
     """(doc, printer, remark, index): by file name, else the first row whose name holds the document's or is held by it.
 
     metadata: (row, FileName, Printer, Remarks, Index), `row` its order in the file. Unmatched: unknown, nan, -1.
-    Only documents without an exact match meet all of metadata, a table of one row a document.
+    Documents without an exact match are joined with names on the rarest piece of the shorter of both.
     """
     pick = F.min(F.struct("row", F.col("Printer").alias("printer"), F.col("Remarks").alias("remark"), F.col("Index").alias("index"))).alias("m")
-    exact = documents.join(metadata, F.col("doc") == F.col("FileName")).groupBy("doc").agg(pick)
-    rest = documents.select("doc").distinct().join(exact, "doc", "left_anti")
-    part = rest.join(metadata, F.contains("FileName", F.col("doc")) | F.contains("doc", F.col("FileName"))).groupBy("doc").agg(pick)
+    names = metadata.groupBy("FileName").agg(pick).filter(F.col("FileName").isNotNull())
+    docs = documents.select("doc").distinct()
+    exact = docs.join(names, F.col("doc") == F.col("FileName")).select("doc", "m")
+    rest = docs.join(exact.select("doc"), "doc", "left_anti").filter(F.col("doc").isNotNull())
+    # (name, holding): pairs of strings of which the second may hold the first
+    as_needle = lambda df, c: df.select(F.col(c).alias("needle"), F.array(c).alias("pieces"))
+    inner = candidates_by_gram(as_needle(rest, "doc"), names.select(F.col("FileName").alias("text"))).filter(F.contains("text", "needle"))
+    outer = candidates_by_gram(as_needle(names, "FileName"), rest.select(F.col("doc").alias("text"))).filter(F.contains("text", "needle"))
+    pairs = inner.select(F.col("needle").alias("doc"), F.col("text").alias("FileName")).unionByName(outer.select(F.col("text").alias("doc"), F.col("needle").alias("FileName")))
+    part = pairs.join(names, "FileName").groupBy("doc").agg(F.min("m").alias("m"))
     found = exact.unionByName(part).select("doc", "m.*")
-    out = documents.select("doc").distinct().join(found, "doc", "left")
+    out = docs.join(found, "doc", "left")
     return out.select("doc", F.coalesce("printer", F.lit("unknown")).alias("printer"), F.coalesce("remark", F.lit("nan")).alias("remark"), F.coalesce("index", F.lit(-1)).alias("index"))
 
 
