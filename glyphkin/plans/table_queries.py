@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import documents as docs, matching, validate
 from ..sources import sinks
+from ..storage import shared_folder as scratch
 from .registry import query, table
 from .standins import CLUSTERS, METADATA, WORDS, clusters, metadata, words
 
 
-def scratch(spark) -> str:
-    """A folder of its own below the cluster's shared one; local only where none is set."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="glyphkin-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 def word_list(name: str, source: str) -> str:
     """A common table expression with the distinct words of three letters a-z or more in a table's texts."""
     return f"{name} AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM {source}) WHERE length(w) >= 3)"
