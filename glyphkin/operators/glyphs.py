@@ -56,40 +56,56 @@ def suppressed_with_classes(detections: DataFrame, key: list[str], over: float,
 PAGE = "doc string, page string, kind string, word_idx int, char_idx int, x int, y int, t int, b int, l int, r int, angle double, stroke double, label string, img array<float>, status string"
 
 
+def _whole(record: dict) -> dict:
+    """With places and numbers as int or None: where one of a batch is null, all of them come as floats."""
+    number = lambda v: None if v is None or v != v else int(v)
+    return {k: number(v) if k in ("word_idx", "char_idx", "t", "b", "l", "r") else v for k, v in record.items()}
+
+
 def process_pages(pages: DataFrame, window: tuple[int, int] = (512, 512), step: tuple[int, int] = (256, 256), padding: int = 10, glyph: tuple[int, int] = (40, 32)) -> DataFrame:
     """Pages with pixels and words to rows of kind window, word, char and status.
 
     pages: (doc, page, height, width, pixels binary, words array<struct<word_idx, t, b, l, r, chars array<struct<
-    char_idx, label, t, b, l, r>>>>). A page that can't be processed gives one status row and nothing else.
+    char_idx, label, t, b, l, r>>>>). A page that can't be processed gives one status row and nothing else; a word
+    that can't, one of kind word_status in place of its rows.
     """
+    failures = (ValueError, TypeError, KeyError, IndexError, ZeroDivisionError, FloatingPointError, np.linalg.LinAlgError)
 
     def word_rows(page, words, base):
+        boxless = [w for w in words if any(w[k] is None for k in "tblr")]
+        words = [w for w in words if all(w[k] is not None for k in "tblr")]
         flat = images.flat_background(page, d=3)
         only = images.only_words(page, [(w["t"], w["b"], w["l"], w["r"]) for w in words], padding)
         windows = images.window_angles(only, *window, step)
         if not windows:
             return [{**base, "kind": "status", "status": "SKIP: no windows"}]
         out = [{**base, "kind": "window", "x": x, "y": y, "angle": a} for x, y, a in windows]
+        out += [{**base, "kind": "word_status", "word_idx": w["word_idx"], "status": "ERROR: no box"} for w in boxless]
         at = np.array([w[:2] for w in windows], float)
         angles = np.array([w[2] for w in windows])
         tensor = images.structure_tensor(only / 255.0)
         for w in words:
-            cx, cy = (w["l"] + w["r"]) / 2, (w["t"] + w["b"]) / 2
-            hold = (at[:, 0] - window[1] // 2 <= cx) & (cx < at[:, 0] + window[1] // 2) & (at[:, 1] - window[0] // 2 <= cy) & (cy < at[:, 1] + window[0] // 2)
-            away = np.hypot(at[:, 0] - cx, at[:, 1] - cy)
-            weight = 1 / np.maximum(away, 1)
-            angle = float((angles * weight)[hold].sum() / weight[hold].sum()) if hold.any() else float(angles[away.argmin()])
-            part = (slice(w["t"], w["b"]), slice(w["l"], w["r"]))
-            chars = list(w["chars"]) if w["chars"] is not None else []
-            stroke = -360.0
-            if len(chars) > 1:
-                jxx, jxy, jyy = (tensor[k][part].mean() for k in ("Jxx", "Jxy", "Jyy"))
-                stroke = float(np.degrees(0.5 * np.arctan2(2 * jxy, jxx - jyy)) + angle)
-            out.append({**base, "kind": "word", "word_idx": w["word_idx"], "t": w["t"], "b": w["b"], "l": w["l"], "r": w["r"], "angle": angle, "stroke": stroke})
-            if len(chars) > 1:
-                out += char_rows(flat, w, chars, base)
+            try:
+                out += one_word(flat, tensor, at, angles, w, base)
+            except failures as e:
+                out.append({**base, "kind": "word_status", "word_idx": w["word_idx"], "status": f"ERROR: {type(e).__name__}"})
         return out
 
+    def one_word(flat, tensor, at, angles, w, base):
+        cx, cy = (w["l"] + w["r"]) / 2, (w["t"] + w["b"]) / 2
+        hold = (at[:, 0] - window[1] // 2 <= cx) & (cx < at[:, 0] + window[1] // 2) & (at[:, 1] - window[0] // 2 <= cy) & (cy < at[:, 1] + window[0] // 2)
+        away = np.hypot(at[:, 0] - cx, at[:, 1] - cy)
+        weight = 1 / np.maximum(away, 1)
+        angle = float((angles * weight)[hold].sum() / weight[hold].sum()) if hold.any() else float(angles[away.argmin()])
+        part = (slice(w["t"], w["b"]), slice(w["l"], w["r"]))
+        chars = [_whole(c) for c in w["chars"]] if w["chars"] is not None else []
+        stroke = -360.0
+        if len(chars) > 1:
+            jxx, jxy, jyy = (tensor[k][part].mean() for k in ("Jxx", "Jxy", "Jyy"))
+            stroke = float(np.degrees(0.5 * np.arctan2(2 * jxy, jxx - jyy)) + angle)
+        own = {**base, "kind": "word", "word_idx": w["word_idx"], "t": w["t"], "b": w["b"], "l": w["l"], "r": w["r"], "angle": angle, "stroke": stroke}
+        return [own, *(char_rows(flat, w, chars, base) if len(chars) > 1 else [])]
+
     def char_rows(flat, w, chars, base):
         pad = max(1, (w["b"] - w["t"]) // 5)
         found = np.array([[c["t"], c["b"], c["l"], c["r"]] for c in chars])
@@ -118,16 +134,18 @@ def process_pages(pages: DataFrame, window: tuple[int, int] = (512, 512), step:
         for pdf in batches:
             for p in pdf.to_dict("records"):
                 base = {"doc": p["doc"], "page": p["page"]}
-                words = list(p["words"]) if p["words"] is not None else []
+                words = [_whole(w) for w in p["words"]] if p["words"] is not None else []
                 try:
                     if not words:
                         rows = [{**base, "kind": "status", "status": "SKIP: no words"}]
+                    elif p["pixels"] is None or pd.isna(p["height"]) or pd.isna(p["width"]):
+                        rows = [{**base, "kind": "status", "status": "ERROR: no pixels"}]
                     else:
-                        page = np.frombuffer(p["pixels"], np.uint8).reshape(p["height"], p["width"])
+                        page = np.frombuffer(p["pixels"], np.uint8).reshape(int(p["height"]), int(p["width"]))
                         rows = word_rows(page, words, base)
                         if rows[-1]["kind"] != "status":
                             rows.append({**base, "kind": "status", "status": "OK: processed"})
-                except (ValueError, np.linalg.LinAlgError, IndexError) as e:
+                except failures as e:
                     rows = [{**base, "kind": "status", "status": f"ERROR: {type(e).__name__}"}]
                 out = pd.DataFrame(rows, columns=names)
                 for c in ("word_idx", "char_idx", "x", "y", "t", "b", "l", "r"):

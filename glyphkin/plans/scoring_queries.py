@@ -171,6 +171,14 @@ def x3_binomial_tail(spark, sf_dir):
     return rows.withColumn("p", F.round(binomial_tail(F.col("k"), F.col("n"), F.col("alpha")), 9))
 
 
+@query("WITH g AS (SELECT 400 + 40 * n_nationkey AS n, k, alpha FROM nation CROSS JOIN (SELECT unnest([1, 5, 60, 300, 500, 900, 1400]) AS k) CROSS JOIN (SELECT unnest([0.003125::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.8::DOUBLE]) AS alpha)) " f"SELECT n::BIGINT AS n, k::BIGINT AS k, alpha, round({TAIL.format(k='k', n='n')}, 7) AS p FROM g")
+def x3_binomial_tail_many(spark, sf_dir):
+    """The same for many trials: 400 to 1360."""
+    n = table(spark, sf_dir, "nation").select((400 + 40 * F.col("n_nationkey")).cast("long").alias("n"))
+    rows = n.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 5, 60, 300, 500, 900, 1400))))).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.003125, 0.1, 0.5, 0.8)))))
+    return rows.withColumn("p", F.round(binomial_tail(F.col("k"), F.col("n"), F.col("alpha")), 7))
+
+
 @query(f"WITH {COUNTS}, ex AS (SELECT *, unnest(range((n + 1)::BIGINT)) AS n1 FROM ct), tl AS (SELECT style, doc_a, doc_b, n, a, n1, round({TAIL.format(k='(k - n1)', n='(n - n1)')}, 9) AS p FROM ex) SELECT style, doc_a, doc_b, n, n1::INTEGER AS n1, min(p) AS p FROM tl GROUP BY ALL")
 def w4_least_tail(spark, sf_dir):
     return scoring.tails(_counts(spark, sf_dir)).select("style", "doc_a", "doc_b", "n", F.col("n1").cast("int").alias("n1"), F.round("p", 9).alias("p"))

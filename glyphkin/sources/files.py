@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import struct
+import zipfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -54,27 +57,39 @@ def _struct_fields(ddl: str) -> list[str]:
 
 
 def read_npz(spark: SparkSession, path: str, keys: tuple[str, ...] = ("char_imgs", "char_labels", "char_word_idx")) -> DataFrame:
-    """(doc, page, char_idx, word_idx, label, img) of compressed array files; pages without characters give no rows."""
+    """(doc, page, char_idx, word_idx, label, img) of compressed array files; pages without characters give no rows, nor
+    do damaged files: validate.page_arrays finds pages that are missing."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_data.npz").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    imgs, labels, words = (z[k] for k in keys)
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                        imgs, labels, words = (z[k] for k in keys)
+                except (ValueError, KeyError, EOFError, OSError, zipfile.BadZipFile, zlib.error):
+                    continue
                 doc, page = name.rsplit("/", 2)[-2], name.rsplit("/", 1)[-1].removesuffix("_data.npz")
                 yield pd.DataFrame({"doc": doc, "page": page, "char_idx": np.arange(len(imgs), dtype=np.int32), "word_idx": words.astype(np.int32), "label": labels.astype(str), "img": list(imgs.reshape(len(imgs), -1).astype(np.float32))})
 
     return files.mapInPandas(run, "doc string, page string, char_idx int, word_idx int, label string, img array<float>")
 
 
+def _info(content: bytes) -> dict:
+    """The size and resolution of a TIFF file, nothing of a damaged one."""
+    try:
+        return tiff_info(content)
+    except (ValueError, IndexError, KeyError, struct.error):
+        return {}
+
+
 def read_tiff_info(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, page, width_px, height_px, dpi_width, dpi_height) from the tags of TIFF files."""
+    """(doc, page, width_px, height_px, dpi_width, dpi_height) from the tags of TIFF files; nulls for damaged ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff}").option("recursiveFileLookup", "true").load(path).select(*page_of("path"), "content")
 
     def run(batches):
         for pdf in batches:
-            info = pd.DataFrame([tiff_info(c) for c in pdf["content"]], columns=["width_px", "height_px", "dpi_width", "dpi_height"])
+            info = pd.DataFrame([_info(c) for c in pdf["content"]], columns=["width_px", "height_px", "dpi_width", "dpi_height"])
             yield pd.concat([pdf[["doc", "page"]].reset_index(drop=True), info], axis=1).astype({c: float for c in info})
 
     return files.mapInPandas(run, "doc string, page string, width_px double, height_px double, dpi_width double, dpi_height double")

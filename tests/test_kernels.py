@@ -266,6 +266,26 @@ def test_leaf_order_is_the_best(seed, n):
     assert cost(got) == pytest.approx(min(cost(p) for p in itertools.permutations(range(n)) if fits(p)))
 
 
+@pytest.mark.parametrize("method", ["average", "single", "complete", "ward"])
+def test_linkage_by_definition(method):
+    """Merges of the nearest pair, the smallest nodes on ties, with distances made anew from all pairs."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 12):
+        d = rng.integers(1, 4, (n, n)) + 0.0 if n == 12 else rng.random((n, n))
+        d = d + d.T
+        np.fill_diagonal(d, 0)
+        far = {(i, j): d[i, j] for i in range(n) for j in range(i + 1, n)}
+        size = dict.fromkeys(range(n), 1)
+        for step, (a, b, h, s) in enumerate(linkage(d, method)):
+            assert ((a, b), s) == (min(far, key=lambda p: (far[p], p)), size[a] + size[b]) and h == pytest.approx(far[a, b])
+            for k in set(size) - {a, b}:
+                x, y = far[min(a, k), max(a, k)], far[min(b, k), max(b, k)]
+                t = size[a] + size[b] + size[k]
+                far[k, n + step] = {"single": min(x, y), "complete": max(x, y), "average": (size[a] * x + size[b] * y) / (size[a] + size[b]), "ward": (((size[a] + size[k]) * x * x + (size[b] + size[k]) * y * y - size[k] * h * h) / t) ** 0.5}[method]
+            size[n + step] = size.pop(a) + size.pop(b)
+            far = {p: v for p, v in far.items() if not {a, b} & set(p)}
+
+
 def grown(imgs, transform, least):
     """Leaves of the tree, every node registered."""
 

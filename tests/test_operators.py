@@ -47,6 +47,88 @@ def test_binomial_tail(spark):
         assert p == pytest.approx(want, abs=1e-12)
 
 
+def test_binomial_tail_of_many_trials(spark):
+    """Against whole numbers, and a pair of 600 letters that chance explains."""
+    from fractions import Fraction
+
+    rows = [(k, n, a) for n in (600, 1000) for k in (1, 60, n // 2, n - 1, n) for a in (0.003125, 0.5, 0.8)] + [(2500, 5000, 0.5)]
+    got = spark.createDataFrame(rows, "k int, n int, a double").withColumn("p", binomial_tail(F.col("k"), F.col("n"), F.col("a"))).collect()
+    for k, n, a, p in got:
+        if n == 5000:
+            want = float(Fraction(sum(math.comb(n, i) for i in range(k, n + 1)), 2**n))
+        else:
+            x = Fraction(a)
+            want = float(sum(math.comb(n, i) * x**i * (1 - x) ** (n - i) for i in range(k, n + 1)))
+        assert p == pytest.approx(want, abs=1e-9)
+    counts = spark.createDataFrame([("r", "a", "b", 0, 0.1, 600, 60), ("r", "a", "b", 1, 0.2, 600, 120)], "style string, doc_a string, doc_b string, a int, alpha double, n int, k int")
+    assert [r.n1hat for r in scoring.scores(counts, 100, 0.01).collect()] == [0]
+
+
+def test_quantiles_by_rank(spark):
+    """Selected by rank they are those of all values in order: ties, one value, narrow and wide ranges."""
+    rng = np.random.default_rng(0)
+    values = {"a": rng.random(2000), "b": [0.5] * 300, "c": [0.3], "d": np.round(rng.random(500), 1), "e": [1.0, 2.0], "f": [*(rng.random(500) * 1e-9), 5.0]}
+    ds = spark.createDataFrame([("r", k, "x", "y", float(v)) for k, vs in values.items() for v in vs], "style string, letter string, doc_a string, doc_b string, dist double")
+    got = {(r.letter, r.a): r.q for r in scoring.quantiles(ds, largest=10).collect()}
+    for k, vs in values.items():
+        want = np.quantile(np.asarray(vs), alpha_values())
+        assert [got[k, a] for a in range(len(want))] == pytest.approx(want.tolist(), rel=1e-12)
+    assert scoring.ranked_quantiles(ds.limit(0), ["style", "letter"], "dist", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "correlation"])
+def test_tiles_give_the_least_of_all_pairs(spark, metric, monkeypatch):
+    """Every pair of documents meets in one tile, whatever the blocks; equal distances go to the smallest ids."""
+    rng = np.random.default_rng(3)
+    rows = [("roman", "ab"[i % 2], f"d{i % 9}", i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(80)]
+    c = spark.createDataFrame(rows, "style string, letter string, doc string, cluster_id int, v array<double>")
+    want = {}
+    for i, (_, la, da, ca, va) in enumerate(rows):
+        for _, lb, db, cb, vb in rows:
+            if la == lb and da < db:
+                x, y = np.array(va), np.array(vb)
+                if metric == "correlation":
+                    x, y = x - x.mean(), y - y.mean()
+                size = np.linalg.norm(x) * np.linalg.norm(y)
+                d = np.linalg.norm(x - y) if metric == "euclidean" else 1.0 if size == 0 else 1 - x @ y / size
+                new = (round(float(d), 6) + 0.0, ca, cb)
+                want[la, da, db] = min(want.get((la, da, db), new), new)
+    monkeypatch.setattr(dist, "STRIP", 7)
+    monkeypatch.setattr(dist.tiled, "__defaults__", (2,))
+    got = {(r.letter, r.doc_a, r.doc_b): (r.dist + 0.0, r.ca, r.cb) for r in dist.least_distances(c, metric, 6).collect()}
+    assert got == want
+    pairs = dist.document_distances(dist.cluster_pairs(c, metric), 6)
+    assert {(r.letter, r.doc_a, r.doc_b): (r.dist + 0.0, r.ca, r.cb) for r in pairs.collect()} == want
+
+
+def test_mean_arrays(spark, monkeypatch):
+    """Arrays of several lengths, null entries and null arrays; keys in pieces of two a task."""
+    from glyphkin.operators import arrays
+
+    monkeypatch.setattr(arrays, "HELD_KEYS", 2)
+    rows = [("a", 1, [1.0, 2.0]), ("a", 1, [3.0]), ("a", 1, [None, 6.0, 9.0]), (None, 1, [5.0]), ("b", None, [1.0]), ("b", None, [2.0]), ("c", 2, None), ("d", 1, [float("nan"), 1.0])]
+    got = {(r.k, r.j): r.m for r in arrays.mean_arrays(spark.createDataFrame(rows, "k string, j int, v array<double>"), ["k", "j"], "v", "m").collect()}
+    assert math.isnan(got.pop(("d", 1))[0])
+    assert got == {("a", 1): [2.0, 4.0, 9.0], (None, 1): [5.0], ("b", None): [1.5]}
+
+
+def test_names_that_hold_each_other(spark):
+    """Joined on rare pieces, as every name against every other."""
+    names = ["", "a", "Supplier#1", "Supplier#12", "plier#1", "x", "abcabc", "abcabcabc", "lier", "nothing at all"]
+    docs = ["Supplier#1", "Supplier#123", "r#12", "", "abcabcab", "zzz", "lier"]
+    m = spark.createDataFrame([(i, n, f"P{i}", None, i) for i, n in enumerate(names)], "row int, FileName string, Printer string, Remarks string, Index int")
+    got = {r.doc: r["index"] for r in matching.with_metadata(spark.createDataFrame([(d,) for d in docs], "doc string"), m).collect()}
+    want = {}
+    for d in docs:
+        exact = [i for i, n in enumerate(names) if n == d]
+        want[d] = min(exact or [i for i, n in enumerate(names) if n in d or d in n] or [-1])
+    assert got == want
+    files = spark.createDataFrame([("x-a-1.pdf",), ("x-b-12.pdf",), ("a-1.pdf",), ("q%_.pdf",)], "file string")
+    wanted = spark.createDataFrame([("a/1",), ("1",), ("*",), ("?-1*",), ("b/?2",), ("[",), ("%_",)], "Signature string")
+    found = sorted((r.Signature, r.file) for r in matching.files_of_signatures(wanted, files).fillna("").collect())
+    assert found == sorted([("a/1", "x-a-1.pdf"), ("a/1", "a-1.pdf"), ("1", "x-a-1.pdf"), ("1", "a-1.pdf"), ("*", "x-a-1.pdf"), ("*", "x-b-12.pdf"), ("*", "a-1.pdf"), ("*", "q%_.pdf"), ("?-1*", "x-a-1.pdf"), ("?-1*", "x-b-12.pdf"), ("?-1*", "a-1.pdf"), ("b/?2", "x-b-12.pdf"), ("[", ""), ("%_", "q%_.pdf")])
+
+
 def test_first_n1(spark):
     """Three documents, epsilon 0.01, one level 0.1, five letters: k of 3, 4, 5 give 0, 1, 3."""
     counts = spark.createDataFrame([("r", "a", str(k), 0, 0.1, 5, k) for k in (3, 4, 5)], "style string, doc_a string, doc_b string, a int, alpha double, n int, k int")

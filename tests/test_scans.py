@@ -139,6 +139,83 @@ def test_scans_to_pages(spark, tmp_path):
     assert got == {("a", "page_0"): (6, 8), ("a", "page_1"): (6, 8), ("folder", "page_0"): (12, 17), ("folder", "page_1"): (12, 17)}
 
 
+def jpeg(spark, img):
+    """A baseline JPEG file of a grey image, by the JVM."""
+    jvm = spark._jvm
+    out = jvm.java.awt.image.BufferedImage(img.shape[1], img.shape[0], 10)
+    for y, x in np.ndindex(*img.shape):
+        out.getRaster().setSample(x, y, 0, int(img[y, x]))
+    sink = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(out, "jpg", sink)
+    return bytes(sink.toByteArray())
+
+
+def test_jpeg_pages_and_damaged_files(spark, tmp_path):
+    """JPEG pages become files like others; damaged and unknown ones are rows with a status, and the rest goes on."""
+    smooth = np.add.outer(np.arange(16) * 4, np.arange(24) * 5).astype(np.uint8)
+    page = b"<</Type/XObject/Subtype/Image/Width 24/Height 16/BitsPerComponent 8/ColorSpace/DeviceGray/Filter/%s/Length %d>>\nstream\n%s\nendstream"
+    root = b"%PDF-1.4\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Count 1/MediaBox[0 0 144 72]/Kids[3 0 R]>>\nendobj\n3 0 obj\n<</Type/Page/Parent 2 0 R/Resources<</XObject<</I 4 0 R>>>>>>\nendobj\n4 0 obj\n"
+    folder = tmp_path / "s" / "t"
+    folder.mkdir(parents=True)
+    coded = jpeg(spark, smooth)
+    for name, coding, data in (("good", b"DCTDecode", coded), ("bad", b"DCTDecode", b"\xff\xd8 no image"), ("fax", b"CCITTFaxDecode", b"abc"), ("torn", b"FlateDecode", b"not deflated")):
+        (tmp_path / "s" / f"{name}.pdf").write_bytes(root + page % (coding, len(data), data) + b"\nendobj\ntrailer<</Root 1 0 R>>\n")
+    whole = tiff(IMG)
+    (folder / "a.tif").write_bytes(whole)
+    (folder / "b.tif").write_bytes(whole[: len(whole) // 2])
+    rows = source.read_pdf(spark, f"file://{tmp_path}/s").unionByName(source.read_tiff(spark, f"file://{tmp_path}/s"))
+    got = {(r.doc, r.name): r.status for r in source.unread(rows).collect()}
+    assert set(got) == {("fax", "page_0"), ("torn", "page_0"), ("t", "b")}
+    assert got["fax", "page_0"] == "SKIP: CCITTFaxDecode" and all(v.startswith("ERROR") for k, v in got.items() if k[0] != "fax")
+    known = spark.createDataFrame([(d, 150) for d in ("good", "bad", "t")], "doc string, dpi int")
+    done = source.convert(rows, f"file://{tmp_path}/out", 150, known).collect()
+    assert sorted(r.path.rsplit("/", 2)[-2] for r in done) == ["good", "t"]
+    pages = {r.doc: r for r in read_pages(spark, f"file://{tmp_path}/out/*").collect()}
+    img = np.frombuffer(pages["good"].pixels, np.uint8).reshape(pages["good"].height, pages["good"].width)
+    assert img.shape == smooth.shape and np.abs(img.astype(int) - smooth).max() < 12
+    lost = source.unread(source.decoded(rows, f"file://{tmp_path}/again"))
+    assert [(r.doc, r.status) for r in lost.filter("doc = 'bad'").collect()] == [("bad", "ERROR: JPEG")]
+
+
+def test_damaged_arrays_and_tags(spark, tmp_path):
+    from glyphkin.sources.files import read_npz, read_tiff_info
+
+    folder = tmp_path / "d"
+    folder.mkdir()
+    np.savez_compressed(folder / "p_data.npz", char_imgs=np.zeros((2, 3, 4)), char_labels=np.array(["a", "b"]), char_word_idx=np.array([0, 0]))
+    (folder / "q_data.npz").write_bytes(b"PK damaged")
+    (folder / "r_data.npz").write_bytes(b"")
+    assert {r.page for r in read_npz(spark, f"file://{tmp_path}").collect()} == {"p"}
+    (folder / "a.tif").write_bytes(b"II*")
+    (folder / "b.tif").write_bytes(tiff(IMG))
+    assert {r.page: r.width_px for r in read_tiff_info(spark, f"file://{tmp_path}").collect()} == {"a": None, "b": 17}
+
+
+def test_a_word_that_fails_loses_itself_only(spark, monkeypatch):
+    from glyphkin.operators import glyphs
+
+    page = np.full((160, 400), 230, np.uint8)
+    words = []
+    for k in range(3):
+        chars = []
+        for c in range(3):
+            lo = 24 + 120 * k + 20 * c
+            page[24:44, lo : lo + 6] = 20
+            page[32:36, lo : lo + 14] = 20
+            chars.append((c, "abc"[c], 22, 46, lo - 2, lo + 16))
+        words.append((k, 20, 48, 20 + 120 * k, 86 + 120 * k, chars))
+    words[1] = (*words[1][:5], [(0, "a", None, 46, 140, 150), (1, "b", 22, 46, 160, 170)])
+    words.append((3, None, 48, 20, 86, []))
+    char = "array<struct<char_idx: int, label: string, t: int, b: int, l: int, r: int>>"
+    schema = f"doc string, page string, height int, width int, pixels binary, words array<struct<word_idx: int, t: int, b: int, l: int, r: int, chars: {char}>>"
+    rows = [("d", "p", 160, 400, page.tobytes(), words), ("d", "null", 160, 400, None, words), ("d", "short", 160, 400, b"abc", words), ("d", "size", None, 400, page.tobytes(), words)]
+    got = glyphs.process_pages(spark.createDataFrame(rows, schema), (128, 128), (64, 64)).collect()
+    assert [r.status for r in got if r.page == "p" and r.kind == "status"] == ["OK: processed"]
+    assert {(r.kind, r.word_idx) for r in got if r.page == "p" and r.kind in ("word", "word_status")} == {("word", 0), ("word_status", 1), ("word", 2), ("word_status", 3)}
+    assert {r.word_idx for r in got if r.kind == "char"} == {0, 2}
+    assert {r.page: r.status.split(":")[0] for r in got if r.kind == "status"} == {"p": "OK", "null": "ERROR", "short": "ERROR", "size": "ERROR"}
+
+
 def test_detection(spark):
     """Two words of three letters, each seen by two neighbouring cells."""
     words, chars = [], []
