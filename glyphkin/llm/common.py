@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..storage import shared_base, shared_folder
+
 # White space as the contracts define it, one byte each in UTF-8.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -20,22 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared checkpoint folder (a local one only where none is set)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glyphkin-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get()
-    return f"{base.rstrip('/')}/glyphkin-{uuid.uuid4().hex}"
+    """A new folder name under the cluster's shared checkpoint folder."""
+    return shared_folder(spark, "llm")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() works afterwards: the cluster's folder, or in tests one of our own."""
+    """checkpoint() works afterwards: the cluster's folder, or on a local master one of our own."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="glyphkin-"))
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -63,29 +55,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 #: Bytes whose running sums are held at a time.
 HASH_BYTES = 1 << 18
 
-_BYTE_VALUES = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
-_RATIOS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-class _Powers:
-    """Powers of an odd ratio and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, ratio: int) -> None:
-        self.ratio, self.inverse, self.size = ratio, pow(ratio, -1, 2**64), 0
+#: Places within a word that have a table of their own; bytes further on are mixed one by one.
+PLACES = 64
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, 1 << 16)
-            out = []
-            for r in (self.ratio, self.inverse):
-                x = np.full(self.size, r, np.uint64)
-                x[0] = 1
-                out.append(np.multiply.accumulate(x))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = [_Powers(r) for r in _RATIOS]
+#: For each lane, place and byte a random value. A word's hash is the sum of its bytes' values, so two words of equal
+#: length differ by a sum of independent random numbers, whatever pattern they follow.
+_BYTE_VALUES = np.random.default_rng(20240607).integers(0, 2**64, (2, PLACES * 256), np.uint64)
+_FAR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def separators(extra: bytes = b"") -> np.ndarray:
@@ -98,14 +74,21 @@ def separators(extra: bytes = b"") -> np.ndarray:
 _WORD = separators()
 
 
+def _joined(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
+    """From each place on, the hash of what a says there and b says `gap` places later."""
+    out = a * np.uint64(0x9E3779B97F4A7C15)
+    out[: len(a) - gap] += b[gap:] ^ np.uint64(0xA0761D6478BD642F)
+    return mix(out)
+
+
 class Words:
     """The words of several texts in one byte buffer, found and hashed by whole-array operations.
 
-    starts, ends: byte offsets of the words; hashes: 64 bits a word; first: word offset of each text
-    (one more entry than texts).
+    starts, ends: byte offsets of the words; hashes: 64 bits a word, in two independent lanes; first: word offset of
+    each text (one more entry than texts).
     """
 
-    def __init__(self, texts: list, inside: np.ndarray = _WORD, hashed: bool = True) -> None:
+    def __init__(self, texts: list, inside: np.ndarray = _WORD) -> None:
         parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts]
         self.data = b"\n" + b"\n".join(parts) + b"\n"
         self.buf = np.frombuffer(self.data, np.uint8)
@@ -115,22 +98,36 @@ class Words:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.text_at = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
         self.first = np.searchsorted(self.starts, self.text_at)
-        if hashed:
-            self.hashes = self._hash_words()
+        self._lanes: dict[int, np.ndarray] = {}
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.hashed(0)
+
+    def hashed(self, lane: int) -> np.ndarray:
+        """The words' hashes in one lane, made when first asked for."""
+        if lane not in self._lanes:
+            self._lanes[lane] = self._hash_words(lane)
+        return self._lanes[lane]
 
-    def _hash_words(self) -> np.ndarray:
-        """Polynomial hashes of the words' bytes from running sums, a few hundred kilobytes at a time."""
+    def _hash_words(self, lane: int) -> np.ndarray:
+        """Sums of the values of the words' bytes from running sums, a few hundred kilobytes at a time."""
         out = np.zeros(len(self.starts), np.uint64)
+        values, far = _BYTE_VALUES[lane], _FAR[lane]
         i = 0
         while i < len(out):
             base = int(self.starts[i])
             j = max(i + 1, int(np.searchsorted(self.ends, base + HASH_BYTES, side="right")))
             part = self.buf[base : int(self.ends[j - 1])]
-            up, down = _POWERS[0].upto(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[part] * up[:-1], out=sums[1:])
             a, b = self.starts[i:j] - base, self.ends[i:j] - base
-            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(_RATIOS[1]))
+            place = np.arange(len(part)) - np.repeat(a, np.diff(np.append(a, len(part))))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            each = values[(np.minimum(place, PLACES - 1) << 8) | part]
+            if (b - a).max() > PLACES:
+                late = np.flatnonzero(place >= PLACES)
+                each[late] = mix(((place[late] << 8) | part[late]).astype(np.uint64) * far + values[0])
+            np.cumsum(each, out=sums[1:])
+            out[i:j] = mix((sums[b] - sums[a]) + (b - a).astype(np.uint64) * far)
             i = j
         return out
 
@@ -138,16 +135,21 @@ class Words:
         return len(self.starts)
 
     def grams(self, n: int, lane: int = 0) -> np.ndarray:
-        """The hash of the n words from each word on; meaningless where valid(n) is False."""
-        size = len(self.hashes)
+        """The hash of the n words from each word on; meaningless where valid(n) is False.
+
+        Hashes of 1, 2, 4, ... words are mixed two by two, those that n is the sum of one after another.
+        """
+        size = len(self.starts)
         if size < n:
             return np.zeros(size, np.uint64)
-        up, down = _POWERS[lane].upto(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.hashes * up[:-1], out=sums[1:])
-        out = np.zeros(size, np.uint64)
-        k = size - n + 1
-        out[:k] = mix((sums[n:] - sums[:k]) * down[:k])
+        out, done = None, 0
+        part, width = self.hashed(lane), 1
+        while width <= n:
+            if n & width:
+                out, done = (part, width) if out is None else (_joined(out, part, done), done + width)
+            width *= 2
+            if width <= n:
+                part = _joined(part, part, width // 2)
         return out
 
     def valid(self, n: int) -> np.ndarray:

@@ -6,7 +6,12 @@ Three steps find every linked pair of classes up to connection:
 1. How many classes hold each n-gram, counted over packed keys in hash buckets, gives the global order: rarest
    first. Two sets that link share an n-gram among the first n - ceil(t n) + 1 of either; n-grams of one class only
    are in no other prefix and never leave their chunk. A class whose prefix holds none that is shared is done.
-2. Classes that share a prefix n-gram are joined into candidate groups (connected components).
+2. Ordered sets that link also have many neighbours in common: with c n-grams in common, each of the others parts
+   at most one of the c + 1 pairs of neighbours (both ends count as n-grams), so 3 c + 1 less both sizes are left.
+   Pairs of neighbours are ordered as the sets are, and only classes that share one in the prefix that this bound
+   gives may link: single n-grams recur in any large corpus, neighbours in order hardly do. Among the classes that
+   share a pair only those stay together whose sizes, less the n-grams of one class only, allow a link. What is left
+   is joined into candidate groups (connected components).
 3. In a group, sets are stored in a path-compressed trie, most frequent n-gram first. A set walks the trie once:
    what it has in common with a path is counted once for all sets below, and a subtree is left as soon as the rest
    of the path and of the set can't reach the overlap that the lengths ask for, or all sets in it are in the
@@ -21,11 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import Words, ensure_checkpoint_dir, runs, separators, stored, table
+from .common import Words, ensure_checkpoint_dir, runs, separators, stored, table, trim
 from .components import components
-from .substring import PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, deal, pack, trimmed, trimmed_pair, undeal, unpack
+from .substring import PACKED, TO_BUCKET, buckets_for, by_bucket, chunks_for, pack, packed_rows, trimmed, trimmed_pair, unpack, unpacked
 
 N, PERCENT = 5, 75
 #: n-grams in one task of the join, and in a block of a large group.
@@ -90,18 +95,45 @@ def count_shared(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(trimmed(run), PACKED)
 
 
+#: Rows whose ids and texts a task remembers, so that it deals each of them once.
+SEEN = 1 << 20
+
+
+def deal_once(rows: DataFrame, chunk: Column) -> DataFrame:
+    """(chunk, payload): (id, key, text) by the chunk, each at most once a task: copies are no use here."""
+
+    def run(batches):
+        seen: set[tuple] = set()
+        for b in batches:
+            new = []
+            for i, pair in enumerate(zip(b.column("id").to_pylist(), b.column("key").to_pylist())):
+                if pair not in seen:
+                    seen.add(pair)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            if new:
+                b = b.take(pa.array(new))
+                yield packed_rows(b.select(["id", "key", "text"]), b.column("chunk").to_numpy(zero_copy_only=False))
+            del b
+            trim()
+
+    return rows.select("id", "key", "text", chunk.alias("chunk")).mapInArrow(run, PACKED)
+
+
 def _class_rows(t: pa.Table, reps: pa.Table) -> tuple[list, list, list]:
     """Ids, keys and texts of the chunk's class representatives, each text once; an id may stand for several texts."""
-    rows = undeal(t.column("payload"), "id", "text")
     wanted = set(zip(reps.column("id").to_pylist(), reps.column("key").to_pylist()))
-    ids, own, texts = [], [], []
-    for i, key, text in zip(rows.column("id").to_pylist(), rows.column("key").to_pylist(), rows.column("text").to_pylist()):
-        if (i, key) in wanted:
-            wanted.remove((i, key))
-            ids.append(i)
-            own.append(key)
-            texts.append(text)
-    return ids, own, texts
+    found = []
+    for blob in t.column("payload"):
+        (rows,) = unpacked([blob])
+        for i, key, text in zip(*(rows.column(c) for c in ("id", "key", "text"))):
+            pair = (i.as_py(), key.as_py())
+            if pair in wanted:
+                wanted.remove(pair)
+                found.append((*pair, text.as_py()))
+    found.sort(key=lambda x: x[:2])
+    return tuple(list(x) for x in zip(*found)) if found else ([], [], [])
 
 
 class Trie:
@@ -231,7 +263,9 @@ def join_block(groups: np.ndarray, second: np.ndarray, sizes: np.ndarray, order:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, chunk_bytes: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(id, n_shingles, component_id) for each row."""
+    """(id, n_shingles, component_id) for each row. percent: from 50 to 100."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must lie between 50 and 100")
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -239,8 +273,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("id")).filter(F.col("id").isNotNull())
     chunks = chunks_for(rows, "text", chunk_bytes)
     buckets = buckets_for(chunks)
-    reps = stored(reps.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))))
-    dealt = deal(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), "id", chunks)
+    chunk = F.pmod(F.xxhash64("id", "key"), F.lit(chunks))
+    reps = stored(reps.withColumn("chunk", chunk))
+    dealt = deal_once(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), chunk)
 
     def first(t: pa.Table, mine: pa.Table) -> pa.Table:
         _, _, texts = _class_rows(t, mine)
@@ -270,9 +305,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         edges = np.searchsorted(s.text[use], np.arange(len(ids) + 1))
         keys, levels = s.keys[use].view(np.int64), level[use].astype(np.int16)
         arrays = (pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x)) for x in (keys, levels))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(s.size, pa.int64()), pa.array(np.where(stays, prefix - alone, 0), pa.int64()), *arrays], names=["id", "key", "size", "prefix", "tokens", "levels"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(s.size, pa.int64()), pa.array(alone, pa.int64()), *arrays], names=["id", "key", "size", "alone", "tokens", "levels"])
 
-    sets = stored(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(trimmed_pair(second), "id long, key string, size long, prefix long, tokens array<long>, levels array<short>"))
+    sets = stored(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(trimmed_pair(second), "id long, key string, size long, alone long, tokens array<long>, levels array<short>"))
     sizes = sets.select("key", "id", "size")
     found = components(_linked(sets, percent, block_tokens).unionByName(_same_id(rows, sizes)))
     return _attach(rows, sizes, found, id_col)
@@ -286,12 +321,53 @@ def _same_id(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return texts.join(sizes.filter("size > 0").select("key", F.col("id").alias("b")), "key").filter("a <> b").select("a", "b")
 
 
+def _neighbours(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, size, reach, pair) for the pairs of neighbours in the prefix of each class that may link.
+
+    reach: the largest set that the class may link with, as its n-grams that others hold too must be enough.
+    """
+    size, alone = F.col("size"), F.col("alone")
+    least = size + F.ceil(size * percent / 100)
+    shared = F.ceil(least * (2 * percent - 100) / (100 + percent)) + 1
+    # of the size + 1 pairs those with an n-gram of this class only are no one else's
+    own = F.when(alone > 0, alone + 1).otherwise(0)
+    prefix = (size + 2 - shared - own).cast("int")
+    reach = F.floor((size - alone) * (100 + percent) / percent).cast("long") - size
+    line = F.concat(F.when(alone > 0, F.array().cast("array<long>")).otherwise(F.array(F.lit(0).cast("long"))), F.col("tokens"), F.array(F.lit(1).cast("long")))
+    rows = sets.filter(F.size("tokens") > 0).select("id", "size", reach.alias("reach"), prefix.alias("prefix"), line.alias("line")).filter("prefix > 0")
+    pairs = F.transform(F.sequence(F.lit(0), F.least(F.col("prefix"), F.size("line") - 1) - 1), lambda i: F.xxhash64(F.get("line", i), F.get("line", i + 1)))
+    return rows.select("id", "size", "reach", F.explode(pairs).alias("pair"))
+
+
+def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that share a pair of neighbours and may link by their sizes, as stars.
+
+    Of the classes with a pair in common, a smaller and a larger one may link if each reaches the other's size. In
+    order of size, a class stays with those before it while one of them reaches it; the windows are over sizes,
+    pre-aggregated, so a pair that very many classes hold is a short list.
+    """
+    held = _neighbours(sets, percent)
+    sizes = held.groupBy("pair", "size").agg(F.max("reach").alias("reach"), F.count_if(F.col("reach") >= F.col("size")).alias("even"), F.count("*").alias("n"))
+    by = Window.partitionBy("pair")
+    before = by.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy("size")
+    sizes = sizes.withColumn("all", F.sum("n").over(by)).filter("all > 1")
+    sizes = sizes.withColumn("reached", F.coalesce(F.max("reach").over(before), F.lit(-1))).withColumn("next", F.lead("size").over(after))
+    # a part begins with a size that none before it reaches
+    sizes = sizes.withColumn("part", F.sum((F.col("reached") < F.col("size")).cast("int")).over(after))
+    up = F.col("reach") >= F.col("next")
+    rows = held.join(sizes.select("pair", "size", "reached", "next", "part", "even"), ["pair", "size"])
+    down = F.col("reached") >= F.col("size")
+    level = (F.col("reach") >= F.col("size")) & (F.col("even") > 1)
+    rows = rows.filter(down | level | F.coalesce(up, F.lit(False))).select("pair", "part", "id")
+    low = rows.groupBy("pair", "part").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(low, ["pair", "part"]).filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+
+
 def _linked(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
     """(a, b): a spanning forest of the classes that link."""
-    probing = sets.filter(F.col("prefix") > 0)
-    prefix = probing.select("id", F.explode(F.slice("tokens", F.lit(1), F.col("prefix").cast("int"))).alias("token"))
-    low = prefix.groupBy("token").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    edges = prefix.join(low, "token").filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+    probing = sets.filter(F.size("tokens") > 0)
+    edges = candidate_edges(sets, percent)
     group = components(edges).select(F.col("vertex").alias("id"), F.col("component").alias("grp")).checkpoint()
     many = probing.join(group, "id")
     sizes = many.groupBy("grp").agg(F.sum(F.size("tokens")).alias("total"))

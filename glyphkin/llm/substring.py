@@ -3,11 +3,13 @@
 A repeat of `window` words always holds a whole aligned block of `(window + 1) // 2` words of either occurrence,
 wherever it starts. So the non-overlapping blocks of every document are the index, every rolling window of a
 block's length is a probe, and a probe that meets a block elsewhere is a hit. Hits are extended to maximal exact
-repeats: every window of `window` words around a hit is compared by a 96-bit hash, and the runs of windows that
-start elsewhere too are the repeats; their words go.
+repeats: every window of `window` words around a hit is compared by two independent hashes (128 bits in a chunk, 96
+and those that chose the bucket between chunks), and the runs of windows that start elsewhere too are the repeats;
+their words go.
 
-Layout: documents are dealt by a hash of their id into chunks of bounded size, compressed, over one exchange that
-all three passes read. Keys travel as packed arrays between chunks and hash buckets. A chunk sends a key once,
+Layout: rows are dealt by their place in the input into chunks of bounded size, compressed, over one exchange that all
+three passes read. So no id, null or other, fills a chunk, however often it occurs; but the input must give the same
+rows in the same order when a lost part of it is read again, as files and stored tables do. Keys travel as packed arrays between chunks and hash buckets. A chunk sends a key once,
 however often it holds it, so a passage that a third of all documents share costs a bucket one entry a chunk.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null and empty texts have no words and give empty kept text. Documents
@@ -22,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Words, runs, table, trim
+from .common import Words, mix, runs, table, trim
 
 #: Least and largest chunk. A task holds a few times its chunk's size in arrays of numbers.
 CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 64 << 20
@@ -46,36 +48,46 @@ def buckets_for(n_chunks: int) -> int:
     return max(1, -(-n_chunks // 2))
 
 
-def deal(df: DataFrame, id_col: str, n_chunks: int) -> DataFrame:
-    """(chunk, payload): whole rows, by a hash of the id, as compressed Arrow streams."""
-    keyed = df.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)))
+def packed_rows(rows: pa.RecordBatch, keys: np.ndarray) -> pa.RecordBatch:
+    """(chunk, payload): the rows of each key as one compressed Arrow stream."""
+    press = zstandard.ZstdCompressor(level=3)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = runs(keys)
+    out = []
+    for i, j in zip(at, [*at[1:], len(keys)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as w:
+            w.write_batch(rows.take(pa.array(order[i:j])))
+        out.append(press.compress(sink.getvalue()))
+    return pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(out, pa.binary())], ["chunk", "payload"])
+
+
+def deal(df: DataFrame, n_chunks: int) -> DataFrame:
+    """(chunk, payload): whole rows, by a hash of their place in the input, as compressed Arrow streams."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
-            keys = b.column("__chunk").to_numpy(zero_copy_only=False)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            rows = b.select([n for n in b.schema.names if n != "__chunk"])
-            at = runs(keys)
-            out = []
-            for i, j in zip(at, [*at[1:], len(keys)]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as w:
-                    w.write_batch(rows.take(pa.array(order[i:j])))
-                out.append(press.compress(sink.getvalue()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(out, pa.binary())], ["chunk", "payload"])
-            del b, rows, out
+            keys = (mix(np.arange(at, at + len(b), dtype=np.uint64)) % np.uint64(n_chunks)).astype(np.int64)
+            at += len(b)
+            yield packed_rows(b, keys)
+            del b
             trim()
 
-    return keyed.mapInArrow(run, PACKED)
+    return df.mapInArrow(run, PACKED)
 
 
-def undeal(blobs, id_col: str, text_col: str) -> pa.Table:
-    """The rows of one chunk in an order that depends on the rows alone."""
+def unpacked(blobs) -> list[pa.Table]:
     press = zstandard.ZstdDecompressor()
-    t = pa.concat_tables([pa.ipc.open_stream(press.decompress(x.as_py())).read_all() for x in blobs])
-    return t.combine_chunks().sort_by([(id_col, "ascending"), (text_col, "ascending")])
+    return [pa.ipc.open_stream(press.decompress(x.as_py())).read_all() for x in blobs]
+
+
+def undeal(blobs, id_col: str, text_col: str) -> pa.Table:
+    """The rows of one chunk, those that differ in id or text in an order that depends on these alone."""
+    return pa.concat_tables(unpacked(blobs)).combine_chunks().sort_by([(id_col, "ascending"), (text_col, "ascending")])
 
 
 #: Packs of fewer entries are stored as they are; compressing them costs more than it saves.
@@ -160,10 +172,21 @@ def by_bucket(chunk: int, hashes: np.ndarray, at: np.ndarray, n_buckets: int, *c
 class Groups:
     """Equal keys among positions: members in order, and the earliest position of each group."""
 
-    def __init__(self, keys: np.ndarray, at: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, at: np.ndarray, second: np.ndarray | None = None) -> None:
+        """second: another key that members of a group have in common too."""
         order = np.argsort(keys, kind="stable")
+        if second is not None:
+            k, s = keys[order], second[order]
+            if ((k[1:] == k[:-1]) & (s[1:] != s[:-1])).any():
+                order = np.lexsort((second, keys))
         self.at = at[order]
-        self.start = runs(keys[order])
+        k = keys[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        if second is not None:
+            s = second[order]
+            new[1:] |= s[1:] != s[:-1]
+        self.start = np.flatnonzero(new)
         self.size = np.diff(np.append(self.start, len(order)))
         self.rep = self.at[self.start] if len(order) else np.zeros(0, np.int64)
 
@@ -233,7 +256,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select([f.name for f in kept])
     block = (window + 1) // 2
     n = chunks_for(docs, text_col, chunk_bytes)
-    dealt = deal(docs, id_col, n)
+    dealt = deal(docs, n)
     buckets = buckets_for(n)
 
     def probe(t: pa.Table) -> pa.Table:
@@ -255,7 +278,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = np.flatnonzero(words.valid(window))
         at = at[near[at + window - block + 1] > near[at]]
         first, second = words.grams(window), words.grams(window, lane=1)
-        at = np.sort(Groups(first[at], at).rep)
+        at = np.sort(Groups(first[at], at, second[at]).rep)
         return by_bucket(t.column("chunk")[0].as_py(), first[at], at, buckets, (first[at], 5), (second[at], 7))
 
     longer = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(trimmed_pair(extend), TO_BUCKET)
@@ -266,7 +289,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = undeal(t.column("payload"), id_col, text_col)
         words = Words(rows.column(text_col).to_pylist())
         at = np.flatnonzero(words.valid(window))
-        groups = Groups(words.grams(window)[at], at)
+        groups = Groups(words.grams(window)[at], at, words.grams(window, lane=1)[at])
         again = groups.spread((groups.size >= 2) | np.isin(groups.rep, _reps(found.column("payload"))))
         cover = np.zeros(len(words) + window + 1, np.int64)
         np.add.at(cover, again, 1)

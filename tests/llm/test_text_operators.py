@@ -54,6 +54,41 @@ def test_hashes_do_not_depend_on_place(monkeypatch):
     assert (Words(["x y z", text]).hashes[3:] == whole).all()
 
 
+def thue_morse(n, a="a", b="b"):
+    word, other = a, b
+    for _ in range(n):
+        word, other = word + other, other + word
+    return word
+
+
+def test_words_in_patterns_differ():
+    """Words, and rows of words, whose sums of powers would be equal modulo a power of two."""
+    for n in (7, 10, 12):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        for lane in (0, 1):
+            h = Words([x, y, "q " + x, y + " q"]).hashed(lane)
+            assert h[0] == h[3] and h[1] == h[4] and h[0] != h[1]
+    for n in (32, 35, 1024):
+        x, y = (" ".join(thue_morse(10, *p)[:n]) for p in ("ab", "ba"))
+        for lane in (0, 1):
+            first, second = (Words([t]).grams(n, lane)[0] for t in (x, y))
+            assert first != second and Words(["z " + x]).grams(n, lane)[1] == first
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 18, 35])
+def test_grams_are_equal_where_the_words_are(n):
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 200))) for _ in range(5)]
+    w = Words(texts)
+    flat = [x for t in texts for x in t.split()]
+    for lane in (0, 1):
+        keys, seen = w.grams(n, lane), {}
+        for i, ok in enumerate(w.valid(n)):
+            if ok:
+                assert seen.setdefault(tuple(flat[i : i + n]), int(keys[i])) == int(keys[i])
+        assert len(set(seen.values())) == len(seen)
+
+
 # 1: substring deduplication
 
 
@@ -92,6 +127,25 @@ def test_substring_against_brute_force(spark, window, chunk):
     assert {"chunk", "payload", "id"} <= set(out.columns)
 
 
+def test_words_that_differ_are_kept(spark):
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, common + " " + thue_morse(10)), (2, common + " " + thue_morse(10, "b", "a"))]
+    got = substring.substring_dedup(table(spark, rows)).collect()
+    assert {r.doc_id: (r["n_words"], r.n_removed) for r in got} == {1: (35, 0), 2: (35, 0)}
+
+
+def test_one_id_for_all_rows(spark):
+    """Rows are dealt by their place, so an id that all rows have, or none, is in every chunk; further columns stay."""
+    texts = [f"t{i} " * 40 if i % 3 else "same " * 50 for i in range(3000)]
+    for i in (None, 7):
+        docs = spark.createDataFrame([(i, t, "x", "y") for t in texts], "doc_id long, text string, __chunk string, chunk string").repartition(3)
+        chunks = substring.deal(docs, 20).groupBy("chunk").agg(F.sum(F.length("payload")).alias("n")).collect()
+        assert len(chunks) == 20 and max(r.n for r in chunks) < 3 * min(r.n for r in chunks)
+    done = substring.substring_dedup(docs, chunk_bytes=20000)
+    got = collections.Counter((r["n_words"], r.n_removed, r["__chunk"], r.chunk) for r in done.collect())
+    assert got == {(40, 40, "x", "y"): 2000, (50, 50, "x", "y"): 1000}
+
+
 def test_substring_of_nothing(spark):
     assert substring.substring_dedup(table(spark, [])).count() == 0
 
@@ -146,6 +200,63 @@ def test_join_against_all_pairs(spark, block):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 90, 100])
+def test_join_at_other_similarities(spark, percent):
+    rng = random.Random(percent)
+    base = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(3)] = [rng.choice("abcdefgh") for _ in range(rng.randrange(3))]
+        rows.append((i, " ".join(w + (rng.choice(base)[:8] if rng.random() < 0.3 else []))))
+    got = ngrams.ngram_components(table(spark, rows), n=2, percent=percent, chunk_bytes=400, block_tokens=200)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 2, percent)
+    with pytest.raises(ValueError):
+        ngrams.ngram_components(table(spark, rows), percent=49)
+
+
+def test_words_that_differ_are_not_linked(spark):
+    x, y = thue_morse(10), thue_morse(10, "b", "a")
+    rows = [(1, f"{x} 1 {x} 2 {x}"), (2, f"{y} 1 {y} 2 {y}"), (3, f"{x}  1 {x} 2 {x}")]
+    got = {r.doc_id: r.component_id for r in ngrams.ngram_components(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def sets_of(spark, texts, percent=75):
+    """The table of ordered sets, as the operator stores it, by a plain count."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    count = collections.Counter(g for s in sets for g in s)
+    rows = []
+    for i, s in enumerate(sets):
+        order = sorted((int(ngrams.rarity(np.array([count[g]]))[0]), zlib.crc32(repr(g).encode())) for g in s)
+        rows.append((i, str(i), len(s), sum(k == 0 for k, _ in order), [h for k, h in order if k], [k for k, _ in order if k]))
+    return spark.createDataFrame(rows, "id long, key string, size long, alone long, tokens array<long>, levels array<short>")
+
+
+def test_like_pages_that_link_with_nothing_are_no_group(spark):
+    """Pages with 115 words in common of 142: similarity 0.67. No candidates at all, however many pages."""
+    words = random.Random(1)
+    common = " ".join(f"c{i}" for i in range(115))
+    for n in (400, 1600):
+        pages = [common + " " + " ".join(f"o{words.randrange(10**9)}" for _ in range(27)) for _ in range(n)]
+        assert ngrams.candidate_edges(sets_of(spark, pages), 75).count() == 0
+
+
+def test_recurring_ngrams_do_not_chain(spark):
+    """Where most n-grams recur somewhere, documents still meet only those that they share neighbours with."""
+    rng = random.Random(2)
+    passages = [[f"{rng.randrange(60)}" for _ in range(6)] for _ in range(3000)]
+    texts = [" ".join(w for p in rng.sample(passages, 12) for w in p) for _ in range(1500)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts[:40]]
+    sets = sets_of(spark, texts)
+    shared = sets.select(F.avg((F.col("size") - F.col("alone")) / F.col("size"))).first()[0]
+    edges = ngrams.candidate_edges(sets, 75).collect()
+    found = {tuple(sorted(e)) for e in edges}
+    assert shared > 0.2 and {(i, 1500 + i) for i in range(40)} <= found and len(found) < 80
+
+
 def test_join_edge_cases(spark):
     assert ngrams.ngram_components(table(spark, [])).count() == 0
     got = ngrams.ngram_components(table(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])).collect()
