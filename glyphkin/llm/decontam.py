@@ -10,20 +10,21 @@ Items and documents are compared in lower case with white space runs as one spac
 Null and empty items match nothing, null and empty documents hold nothing. Equal items are reported one by one, as
 are equal documents. Of several places of an item in a document the one of least distance counts, then the first.
 
-Items are broadcast in blocks of at most `block_chars` characters, one pass over the documents for each block, so
-what an executor holds is bounded whatever the size of the benchmark.
+The size of the items is asked first. Up to `block_chars` characters they are broadcast as one automaton, and one pass
+over the documents does it. Beyond, the pieces are an index that is joined: documents are read once, every place of a
+text is looked up in a filter of fixed size over the hashes of the pieces' first characters, what passes is joined
+with the pieces by hash, and texts that share a piece with items meet these, and no others, in one task each. So what
+a process holds does not grow with the number of items, and neither does the number of passes.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
-
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import table
+from .common import mix, table
 
 MAX_EDIT_RATE = 0.06
 MIN_PIECE = 16
@@ -61,6 +62,12 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     return best if best[0] <= limit else None
 
 
+def cuts_of(item: str, max_edit_rate: float = MAX_EDIT_RATE, min_piece: int = MIN_PIECE, min_item: int = MIN_ITEM) -> list[int]:
+    """Where an item is cut into pieces, one more than the edits that it may have."""
+    k = max(0, min(int(max_edit_rate * len(item)), len(item) // min_piece - 1)) if len(item) >= min_item else 0
+    return [len(item) * i // (k + 1) for i in range(k + 2)]
+
+
 class Matcher:
     """Finds items with few edits in normalised texts."""
 
@@ -68,9 +75,8 @@ class Matcher:
         self.items, self.limits = items, []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item) in enumerate(items):
-            k = max(0, min(int(max_edit_rate * len(item)), len(item) // min_piece - 1)) if len(item) >= min_item else 0
-            self.limits.append(k)
-            cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+            cuts = cuts_of(item, max_edit_rate, min_piece, min_item)
+            self.limits.append(len(cuts) - 2)
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(item[a:b], []).append((n, a))
         self.min_item = min_item
@@ -122,26 +128,11 @@ class Matcher:
         return not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, normalised, in blocks; always at least one block."""
-    block: list[tuple[int | None, str]] = []
-    size, any_block = 0, False
-    for r in items.select(F.col(id_col).cast("long"), text_col).orderBy(id_col, text_col).toLocalIterator():
-        if text := normalise(r[1]):
-            if block and size + len(text) > block_chars:
-                yield block
-                block, size, any_block = [], 0, True
-            block.append((r[0], text))
-            size += len(text)
-    if block or not any_block:
-        yield block
-
-
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
 def _matcher(shared, rate: float) -> Matcher:
-    """One automaton a process for each broadcast block."""
+    """One automaton a process."""
     key = (shared.value[0], rate)
     if key not in _MATCHERS:
         _MATCHERS.clear()
@@ -149,53 +140,145 @@ def _matcher(shared, rate: float) -> Matcher:
     return _MATCHERS[key]
 
 
-def _share(spark: SparkSession, block: list):
+def _shared_items(items: DataFrame, block_chars: int):
+    """The normalised items as a broadcast, or None where they have more characters than that."""
     import uuid
 
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-
-
-FOUND = pa.schema([("n", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+    size = items.select(F.sum(F.length("text"))).first()[0] or 0
+    if size > block_chars:
+        return None
+    rows = [(r[0], text) for r in items.select("item_id", "text").collect() if (text := normalise(r[1]))]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+
+FOUND = pa.schema([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+_FOUND = "item_id long, distance int, start long, end long"
+
+#: Bits of the filter over pieces, eight to a byte: a fixed size.
+FILTER_BITS = 1 << 26
+
+
+def _windows(text: str, size: int) -> np.ndarray:
+    """A hash of the `size` characters from each place on; none for shorter texts."""
+    if len(text) < size:
+        return np.zeros(0, np.uint64)
+    codes = mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(size << 32))
+    out = codes[: len(text) - size + 1].copy()
+    for k in range(1, size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out += codes[k : k + len(out)]
+    return mix(out)
+
+
+def _normal_items(items: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """(item, item_id, text, n): each different item once, with how often it occurs; (item, size, hash): its pieces."""
+
+    def run(batches):
+        for b in batches:
+            texts = [normalise(t) for t in b.column("text").to_pylist()]
+            some = [i for i, t in enumerate(texts) if t]
+            heads = [[texts[i][p : p + MIN_PIECE] if q - p > MIN_PIECE else texts[i][p:q] for p, q in zip(c, c[1:])] for i in some for c in (cuts_of(texts[i], rate),)]
+            hashes = [[int(_windows(h, len(h))[0].view(np.int64)) for h in x] for x in heads]
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(some, pa.int64())), pa.array([texts[i] for i in some], pa.string()), pa.array([[len(h) for h in x] for x in heads], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["item_id", "text", "sizes", "hashes"])
+
+    rows = items.mapInArrow(run, "item_id long, text string, sizes array<int>, hashes array<long>")
+    rows = rows.groupBy("item_id", "text").agg(F.count("*").alias("n"), F.first("sizes").alias("sizes"), F.first("hashes").alias("hashes"))
+    rows = rows.withColumn("item", F.sha2(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "text"), 256))
+    pieces = rows.select("item", F.explode(F.arrays_zip("sizes", "hashes")).alias("p")).select("item", F.col("p.sizes").alias("size"), F.col("p.hashes").alias("hash")).distinct()
+    return rows.select("item", "item_id", "text", "n"), pieces
+
+
+def _joined(texts: DataFrame, items: DataFrame, rate: float) -> DataFrame:
+    """(key, item_id, distance, start, end) for the items in each text. texts: (key, text)."""
+    items, pieces = _normal_items(items, rate)
+    place = F.pmod("hash", F.lit(FILTER_BITS))
+    words = pieces.select((place / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(hash, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    sizes = sorted(r[0] for r in pieces.select("size").distinct().collect())
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast((bits.view(np.uint64), sizes))
+
+    def look(batches):
+        filter_, sizes = shared.value
+        for b in batches:
+            who, found = [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                t = normalise(t)
+                # a long text in stretches that overlap by a window
+                for size, a in ((size, a) for size in sizes for a in range(0, len(t), BLOCK_CHARS)):
+                    h = np.unique(_windows(t[a : a + BLOCK_CHARS + size - 1], size))
+                    at = h.view(np.int64) % FILTER_BITS
+                    h = h[(filter_[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)]
+                    who.append(np.full(len(h), i))
+                    found.append(h.view(np.int64))
+            if who:
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.concatenate(who))), pa.array(np.concatenate(found))], ["key", "hash"])
+
+    hits = texts.mapInArrow(look, "key string, hash long").join(pieces.select("hash", "item").distinct(), "hash").select("key", "item").distinct()
+    asked = hits.join(items, "item").select("key", "item_id", F.col("text").alias("item"), "n")
+    once = texts.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+    def verify(t: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = []
+        if len(t) and len(wanted):
+            own = sorted(zip(*(wanted.column(c).to_pylist() for c in ("item_id", "item", "n"))), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            matcher = Matcher([r[:2] for r in own], rate)
+            for n, *place in matcher.find(normalise(t.column("text")[0].as_py())):
+                rows += [(t.column("key")[0].as_py(), own[n][0], *place)] * own[n][2]
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(columns[0], pa.string()), *(pa.array(c, f.type) for c, f in zip(columns[1:], FOUND))], names=["key", *FOUND.names])
+
+    return once.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(verify, f"key string, {_FOUND}")
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, text) of the texts: equal ones have one key."""
+    return docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias("key"), F.col(text_col).alias("text")).filter("key IS NOT NULL")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edit_rate: float = MAX_EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, item_id, distance, start, end) for each item that a document holds."""
-    spark, parts = docs.sparkSession, []
-    for block in item_blocks(items, block_chars=block_chars):
-        shared = _share(spark, block)
-
-        def run(batches, shared=shared):
-            matcher = _matcher(shared, max_edit_rate)
-            for b in batches:
-                rows, who = [], []
-                for i, t in enumerate(b.column("text").to_pylist()):
-                    for n, distance, start, end in matcher.find(normalise(t)):
-                        who.append(i)
-                        rows.append((matcher.items[n][0], distance, start, end))
-                if rows:
-                    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(FOUND)[1:])]
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(who)), *columns], ["id", *FOUND.names[1:]])
-
-        plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        kind = docs.schema[id_col].dataType.simpleString()
-        parts.append(plain.mapInArrow(run, f"id {kind}, item_id long, distance int, start long, end long"))
-    return functools.reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)
+    """(id, item_id, distance, start, end) for each item that a document holds. items: (item_id, text)."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    shared = _shared_items(items, block_chars)
+    if shared is None:
+        found = _joined(_keyed(docs, text_col), items, max_edit_rate)
+        rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("key"))
+        return rows.join(found, "key").select(F.col("id").alias(id_col), *FOUND.names)
+
+    def run(batches):
+        matcher = _matcher(shared, max_edit_rate)
+        for b in batches:
+            rows, who = [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                for n, distance, start, end in matcher.find(normalise(t)):
+                    who.append(i)
+                    rows.append((matcher.items[n][0], distance, start, end))
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(who)), *columns], ["id", *FOUND.names])
+
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return plain.mapInArrow(run, f"id {kind}, {_FOUND}").withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_edit_rate: float = MAX_EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    spark = docs.sparkSession
-    for block in item_blocks(items, block_chars=block_chars):
-        shared = _share(spark, block)
-
-        def run(batches, shared=shared):
-            matcher = _matcher(shared, max_edit_rate)
-            for b in batches:
-                clean = [not matcher.find(normalise(t)) for t in b.column(text_col).to_pylist()]
-                yield b.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
-    return docs
+    """The documents that hold no item, with all their columns. items: (item_id, text)."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    shared = _shared_items(items, block_chars)
+    if shared is None:
+        found = _joined(_keyed(docs, text_col), items, max_edit_rate).select("key").distinct()
+        return docs.alias("d").join(found.alias("f"), F.sha2(F.col(f"d.`{text_col}`").cast("binary"), 256) == F.col("f.key"), "left_anti")
+
+    def run(batches):
+        matcher = _matcher(shared, max_edit_rate)
+        for b in batches:
+            clean = [not matcher.find(normalise(t)) for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
