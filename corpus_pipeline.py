@@ -33,7 +33,7 @@ NAMES = 1 << 62
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
-    model = train_toxicity(docs.filter(~held_out()), labels)
+    model = train_toxicity(docs.filter(~held_out()), labels, lang_col="lang")
     scored = score_toxicity(docs, model, extra=tuple(c for c in COLUMNS if c != "doc_id"))
     return scored.filter(F.col("predicted") == 0).select(COLUMNS)
 

@@ -5,19 +5,18 @@ of a text is hashed to one of `buckets` rows of a log-probability matrix (bucket
 size does not depend on the data), which is broadcast; a batch of texts is scored by adding the rows that its
 n-grams name, which is the product of its sparse count matrix with the dense one.
 
-Training reads at most `per_lang` texts a language, chosen by a hash of the id, whole. A text that is null or has
+Training reads at most `per_lang` texts a language, chosen by a hash of the id, whole, and those over 128 KB not. A text that is null or has
 no letter is `und` with score 0; with no training rows every text is. Equal scores: the first language in
 alphabetical order. Rows are scored alone, so repeated rows need no rule. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import held_out, table, trim
 
@@ -123,14 +122,15 @@ def split_by_size(texts: list[str], limit: int = BATCH_CHARS):
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schema: str, score: Callable[[list[str]], tuple[list, ...]]) -> DataFrame:
     """(id, extra..., what score returns) for each row; null texts are empty. The text may be among extra."""
-    names = [id_col, *extra]
+    source = [id_col, *extra]
+    names = [f"i{k}" for k in range(len(source))]
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
     kinds = [arrow[kind] for _, kind in fields]
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            texts = [t or "" for t in b.column("t").to_pylist()]
             out: list[list] | None = None
             for part in split_by_size(texts):
                 got = score(part)
@@ -142,35 +142,55 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
             del b, texts, out
             trim()
 
-    # columns are matched by name, so the map uses plain names and they are renamed afterwards
-    inner = ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])
-    mapped = df.select(*names, *([] if text_col in names else [text_col])).mapInArrow(run, inner)
-    return mapped.select(*names, *(F.col(f"c{i}").alias(name) for i, (name, _) in enumerate(fields)))
+    # columns are matched by name, so all have names of the map's own while they are in it
+    inner = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, source)), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])
+    mapped = df.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, source)), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, inner)
+    return mapped.select(*(F.col(n).alias(c) for n, c in zip(names, source)), *(F.col(f"c{i}").alias(name) for i, (name, _) in enumerate(fields)))
 
 
-def sample_by(df: DataFrame, id_col: str, text_col: str, by: str, limit: int, most_values: int = 1000) -> list[tuple[object, list[str]]]:
-    """(value, texts) for at most `limit` rows of each value of `by`, those with the smallest hash of the id, for the
-    `most_values` most frequent values.
+#: Texts of more bytes are not learned from, and all texts of a sample have about as many bytes at most.
+MOST_TEXT_BYTES, SAMPLE_BYTES = 1 << 17, 1 << 27
+#: Hash values among which the rows with the smallest ones are taken.
+SPACE = 1 << 31
 
-    Values are counted first; the rows below a hash bound that lets a fifth more than `limit` through are fetched.
-    No group of rows is sorted or gathered on an executor, and the driver gets a bounded number a value.
+
+def place_of(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(SPACE))
+
+
+def bound_for(limit: int, rows: int) -> int:
+    """The hash bound below which about a fifth more than `limit` of so many rows lie."""
+    return min(SPACE, -(-limit * 6 * SPACE // (5 * max(rows, 1))))
+
+
+def sample_by(df: DataFrame, id_col: str, text_col: str, by: str, limit: int, most_values: int = 1000, most_bytes: int = SAMPLE_BYTES) -> list[tuple[object, list[str]]]:
+    """(value, texts) for at most `limit` rows of each value of `by`, those with the smallest hash of the id.
+
+    Values are counted first; the rows below a hash bound that lets a fifth more than `limit` through come in one job.
+    No group of rows is sorted or gathered on an executor. Texts over MOST_TEXT_BYTES are passed over, and where
+    `limit` texts of average length of each value would be more than `most_bytes`, fewer are taken of each. More
+    than `most_values` values raise an error.
     """
-    df = df.filter(F.col(by).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    space = 1 << 31
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(space))
-    bounds = {r[0]: min(space, -(-limit * 6 * space // (5 * r[1]))) for r in df.groupBy(by).count().orderBy(F.col("count").desc(), by).limit(most_values).collect()}
-    if not bounds:
+    size = F.octet_length(text_col)
+    df = df.filter(F.col(by).isNotNull() & F.col(id_col).isNotNull() & (size <= MOST_TEXT_BYTES))
+    counts = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(size).alias("mean")).limit(most_values + 1).collect()
+    if not counts:
         return []
-    wanted = functools.reduce(lambda a, b: a | b, ((F.col(by) == F.lit(v)) & (place < F.lit(k)) for v, k in bounds.items()))
-    rows = df.filter(place < F.lit(max(bounds.values()))).filter(wanted).select(by, place.alias("__place"), id_col, text_col)
+    if len(counts) > most_values:
+        raise ValueError(f"more than {most_values} values of {by}")
+    limit = max(1, min(limit, int(most_bytes / max(1.0, sum(r["mean"] for r in counts)))))
+    bounds = df.sparkSession.createDataFrame([(r[0], bound_for(limit, r["n"])) for r in counts], df.select(F.col(by).alias("__value")).schema.add("__bound", "long"))
+    # one row a value, at most `most_values`
+    rows = df.join(F.broadcast(bounds), (F.col(by) == F.col("__value")) & (place_of(id_col) < F.col("__bound")))
     out: dict[object, list[tuple]] = {}
-    for r in rows.toLocalIterator():
+    # an id that many rows have counts once, with its smallest text
+    for r in rows.groupBy(by, id_col).agg(F.min(text_col).alias("__text")).select(by, place_of(id_col), id_col, "__text").collect():
         out.setdefault(r[0], []).append(tuple(r)[1:])
     return sorted((k, [t for *_, t in sorted(v)[:limit]]) for k, v in out.items())
 
 
 def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_langs: int = 1000) -> NaiveBayes:
-    """Learned from at most `per_lang` texts of each of the `most_langs` most frequent languages; rarer ones are never predicted."""
+    """Learned from at most `per_lang` texts of each language; more than `most_langs` languages raise an error."""
     return NaiveBayes.fit(sample_by(docs, id_col, text_col, lang_col, per_lang, most_langs))
 
 
