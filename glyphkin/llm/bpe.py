@@ -62,6 +62,8 @@ class TreeBpe:
 
         ranks = {b: model["vocab"][t] for t, b in as_bytes.items() if t not in self.specials}
         self.engine = tiktoken.Encoding("tree", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
+        # takes a text as one pre-token, and lets go of the interpreter while it works
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.pretokens = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.leaf, self.pool = leaf_bytes, ThreadPoolExecutor(threads)
         self.allowed = set(self.specials)
@@ -112,15 +114,31 @@ class TreeBpe:
         yield text[at:], None
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """One pre-token: leaves in parallel, then joined pair by pair."""
+        """One pre-token, UTF-8: halved until halves are leaves, these encoded in parallel, then joined pair by pair."""
         if len(data) <= self.leaf:
             return self.engine._encode_single_piece(data)
-        level = list(self.pool.map(self.engine._encode_single_piece, (data[i : i + self.leaf] for i in range(0, len(data), self.leaf))))
+        level = list(self.pool.map(self.whole.encode_ordinary, [x.decode() for x in self._leaves(data)]))
         while len(level) > 1:
             pairs = [(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
             level = list(self.pool.map(lambda p: self.join(*p), pairs)) + level[2 * len(pairs) :]
         return level[0]
 
+    def _leaves(self, data: bytes) -> list[bytes]:
+        """The halves of halves, cut between characters; all are of one depth."""
+        parts = [data]
+        while max(map(len, parts)) > self.leaf:
+            halves = []
+            for p in parts:
+                cut = len(p) // 2
+                while cut < len(p) and p[cut] & 0xC0 == 0x80:
+                    cut += 1
+                halves += [p[:cut], p[cut:]]
+            if len(halves) == 2 * len(parts) and all(halves):
+                parts = halves
+            else:
+                break
+        return parts
+
     def join(self, left: list[int], right: list[int], window: int = 8) -> list[int]:
         while True:
             i, j = max(0, len(left) - window), min(len(right), window)
