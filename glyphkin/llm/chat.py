@@ -409,16 +409,28 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\<\[])", r"\1", text)
 
 
+def _unfinished(text: str) -> int:
+    """Where a token begins that the end of the text cuts off; the text's length if none does."""
+    for i in range(max(0, len(text) - _LONGEST + 1), len(text)):
+        rest = text[i:]
+        if rest == "\\" or any(len(rest) < len(c) and c.startswith(rest) for c in CONTROLS):
+            return i
+    return len(text)
+
+
+_LONGEST = max(map(len, CONTROLS))
+
+
 class Reader:
-    """Reads formatted output back, in pieces or whole, and calls turn(role, text) for each turn."""
+    """Reads formatted output back, cut into pieces anywhere, and calls turn(role, text) for each turn."""
 
     ENDS = {"[/INST]": "user", "</s>": "assistant", "</t>": None}
 
     def __init__(self, turn: Callable[[str, str], None]) -> None:
-        self.turn, self.role, self.text = turn, "", []
+        self.turn, self.role, self.text, self.tail = turn, "", [], ""
 
     def feed(self, piece: str) -> None:
-        at = 0
+        piece, at = self.tail + piece, 0
         for m in _TOKEN.finditer(piece):
             self.text.append(piece[at : m.start()])
             at, token = m.end(), m[0]
@@ -431,7 +443,44 @@ class Reader:
                 self.role, self.text = "", []
             else:
                 self.text = []
-        self.text.append(piece[at:])
+        rest = piece[at:]
+        whole = _unfinished(rest)
+        self.text.append(rest[:whole])
+        self.tail = rest[whole:]
+
+
+class Output:
+    """A formatted conversation on its way out: its text, and the spans of it that the loss covers, by offsets.
+
+    Both are read back from the text that has come out, `block` characters at a time: turns by a Reader, what is under
+    the loss mask by cutting it out of the text and undoing its escapes.
+    """
+
+    def __init__(self, turn: Callable[[str, str], None], masked: Callable[[str], None], block: int = 1 << 16) -> None:
+        self.reader, self.masked, self.block = Reader(turn), masked, block
+        self.parts: list[str] = []
+        self.spans: list[tuple[int, int]] = []
+        self.base = self.size = 0
+        self.tail = ""
+
+    def emit(self, piece: str, generated: bool) -> None:
+        if generated and piece:
+            self.spans.append((self.size, self.size + len(piece)))
+        self.parts.append(piece)
+        self.size += len(piece)
+        if self.size - self.base >= self.block:
+            self.read()
+
+    def read(self) -> None:
+        text = "".join(self.parts)
+        self.reader.feed(text)
+        for a, b in self.spans:
+            part = self.tail + text[a - self.base : b - self.base]
+            # a backslash whose partner is still to come
+            odd = (len(part) - len(part.rstrip("\\"))) % 2
+            self.tail = part[len(part) - odd :]
+            self.masked(unescape(part[: len(part) - odd]))
+        self.parts, self.spans, self.base = [], [], self.size
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -483,7 +532,7 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
 
 
 def conversation_digests(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """Per conversation, what is read back from its formatted output, piece by piece."""
+    """Per conversation, what is read back from its formatted output, a block of it at a time."""
     parse(template)
 
     def run(batches):
@@ -492,24 +541,20 @@ def conversation_digests(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
         def rows():
             for conv, messages in _conversations(batches):
                 turns, loss = hashlib.sha256(), hashlib.sha256()
-                counts = [0, 0, 0]
+                counts = [0, 0]
 
                 def turn(role, text, turns=turns, counts=counts):
                     turns.update(f"{role}\n{text}\n".encode())
                     counts[0] += 1
 
-                reader = Reader(turn)
-
-                def emit(piece, generated, loss=loss, counts=counts, reader=reader):
-                    reader.feed(piece)
-                    counts[2] += len(piece)
-                    if generated:
-                        text = unescape(piece)
-                        counts[1] += len(text)
-                        loss.update(text.encode())
+                def masked(text, loss=loss, counts=counts):
+                    loss.update(text.encode())
+                    counts[1] += len(text)
 
-                compiled.pieces(messages, emit)
-                yield conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2]
+                out = Output(turn, masked)
+                compiled.pieces(messages, out.emit)
+                out.read()
+                yield conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), out.size
 
         yield from _in_batches(rows(), pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 

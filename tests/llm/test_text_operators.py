@@ -435,6 +435,17 @@ def test_formatting_can_be_undone(messages):
     assert [chat.unescape(text[a:b]) for a, b in spans] == [m["text"] for m in messages if m["role"] == "assistant"]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "<s>"]), st.text(alphabet="a\\<>[]/INSTsrt", max_size=40)), max_size=5), st.integers(1, 9))
+def test_output_is_read_back_wherever_it_is_cut(messages, block):
+    """Turns and the text under the loss mask, from the output in blocks that cut control strings and escapes."""
+    turns, masked = [], []
+    out = chat.Output(lambda r, t: turns.append((r, t)), masked.append, block)
+    chat.Template(chat.TEMPLATE).pieces([{"role": r, "text": t} for r, t in messages], lambda p, g: [out.emit(c, g) for c in p] if p else out.emit(p, g))
+    out.read()
+    assert turns == messages and "".join(masked) == "".join(t for r, t in messages if r == "assistant")
+
+
 def test_template_language():
     t = chat.Template("{% set a = 'x' + 'y' %}{% for m in messages %}{{ loop.index }}{% if loop.last %}!{% elif m.n > 1 and not m.b %}{{ m.n }}{% else %}{{ a | upper }}{% endif %}{% endfor %}")
     assert t.render([{"n": 1, "b": 0}, {"n": 5, "b": 0}, {"n": 9, "b": 0}])[0] == "1XY253!"
