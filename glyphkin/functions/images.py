@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -86,21 +87,27 @@ def poisson_edit(source: np.ndarray, target: np.ndarray, mask: np.ndarray) -> np
     return solve_poisson(wanted, target.astype(float), m)
 
 
+def _tiles(shape: tuple[int, int], size: int | None):
+    """Slices that cover an image, squares of that size or the whole."""
+    rows, columns = (range(0, n, size or max(n, 1)) for n in shape)
+    return (tuple(slice(k, k + size if size else None) for k in at) for at in itertools.product(rows, columns))
+
+
+def darkened(page: np.ndarray, share: float = 0.1, ink: float = 0.1) -> np.ndarray:
+    """Numbers at most 1, stretched below 1 so that a share of what isn't white is as dark as `ink` or darker."""
+    text = page[page <= 1 - 1 / 255]
+    return 1 - (1 - page) * (1 - ink) / (1 - np.quantile(text, share)) if len(text) else page
+
+
 def flat_background(page: np.ndarray, d: int = 0, equalise: bool = True, tile: int | None = None) -> np.ndarray:
     """An 8-bit page as numbers in [0, 1] with its background at 1; tiles bound memory but cut gradients."""
     img = page.astype(float) / 255
-    mask = grown(img <= text_threshold(img), d)
-    h, w = img.shape
-    t = tile or max(h, w)
-    out = np.ones((h, w))
-    for i in range(0, h, t):
-        for j in range(0, w, t):
-            part = (slice(i, i + t), slice(j, j + t))
-            out[part] = poisson_edit(img[part], np.ones_like(img[part]), mask[part])
-    ink = out[out <= 1 - 1 / 255]
-    if equalise and len(ink):
-        out = 1 + (out - 1) * 0.9 / (1 - np.quantile(ink, 0.1))
-    return np.clip(out, 0, 1)
+    text = grown(img <= text_threshold(img), d)
+    white = np.ones(img.shape)
+    flat = white.copy()
+    for part in _tiles(img.shape, tile):
+        flat[part] = poisson_edit(img[part], white[part], text[part])
+    return np.clip(darkened(flat) if equalise else flat, 0, 1)
 
 
 def only_words(page: np.ndarray, boxes: list[tuple[int, int, int, int]], padding: int = 10) -> np.ndarray:
