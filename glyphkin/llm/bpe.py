@@ -13,6 +13,7 @@ other columns pass through `bpe_encode` unless they have the name of an output,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -62,8 +63,7 @@ class TreeBpe:
 
         ranks = {b: model["vocab"][t] for t, b in as_bytes.items() if t not in self.specials}
         self.engine = tiktoken.Encoding("tree", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
-        # takes a text as one pre-token, and lets go of the interpreter while it works
-        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
         self.pretokens = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.leaf, self.pool = leaf_bytes, ThreadPoolExecutor(threads)
         self.allowed = set(self.specials)
@@ -113,6 +113,13 @@ class TreeBpe:
                 at = m.end()
         yield text[at:], None
 
+    @functools.cached_property
+    def whole(self):
+        """Takes a text as one pre-token, and lets go of the interpreter while it works; few texts need it."""
+        import tiktoken
+
+        return tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+
     def encode_piece(self, data: bytes) -> list[int]:
         """One pre-token, UTF-8: halved until halves are leaves, these encoded in parallel, then joined pair by pair."""
         if len(data) <= self.leaf:
@@ -173,22 +180,34 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bpe_encode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids", leaf_bytes: int = 4096) -> DataFrame:
-    """All columns and `ids`, the token ids of each whole text. The vocabulary's path must hold on every executor."""
+def bpe_encode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids", leaf_bytes: int = 4096, decoded_col: str | None = None) -> DataFrame:
+    """All columns and `ids`, the token ids of each whole text. The vocabulary's path must hold on every executor.
+
+    decoded_col: a further column with the text that the ids decode to, made in the same process.
+    """
     path = path or default_path()
-    kept = [f for f in df.schema if f.name != ids_col]
-    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    out = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    kept = [f for f in df.schema if f.name not in {o.name for o in out}]
     names = [f.name for f in kept]
 
     def run(batches):
         tree = encoder(path, leaf_bytes)
         for b in batches:
-            ids = [tree.encode(t.as_py()).astype(np.int32) for t in b.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
-            del b, ids
-            trim()
+            # in parts, so that not all of a batch is held in every form at once
+            for part in (b.slice(i, ROWS) for i in range(0, len(b), ROWS)):
+                ids = [tree.encode(t.as_py()).astype(np.int32) for t in part.column(text_col)]
+                columns = [pa.array(ids, pa.list_(pa.int32())), *([pa.array([tree.decode(x) for x in ids], pa.string())] if decoded_col else [])]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], [*names, *(o.name for o in out)])
+                del part, ids, columns
+                trim()
+            del b
 
-    return df.mapInArrow(run, schema)
+    # the text itself is read even where an output replaces it
+    return df.mapInArrow(run, T.StructType([*kept, *out]))
+
+
+#: Rows that are encoded or decoded at a time.
+ROWS = 1000
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, decoded_col: str = "decoded") -> DataFrame:
