@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphkin.llm.bpe import bpe_decode, bpe_encode
+from glyphkin.llm.bpe import bpe_encode
 from glyphkin.llm.common import held_out, stored, table
 from glyphkin.llm.decontam import decontaminate
 from glyphkin.llm.ngrams import ngram_components
@@ -61,7 +61,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text")))
+    out = bpe_encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
