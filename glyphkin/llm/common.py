@@ -110,6 +110,10 @@ class Words:
             self._lanes[lane] = self._hash_words(lane)
         return self._lanes[lane]
 
+    def forget(self) -> None:
+        """Gives the hashes' memory back once all rows of words that are wanted have theirs."""
+        self._lanes.clear()
+
     def _hash_words(self, lane: int) -> np.ndarray:
         """Sums of the values of the words' bytes from running sums, a few hundred kilobytes at a time."""
         out = np.zeros(len(self.starts), np.uint64)

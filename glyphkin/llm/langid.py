@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import held_out, table, trim
@@ -23,7 +24,7 @@ from .common import held_out, table, trim
 BUCKETS = 1 << 16
 PER_LANG = 1000
 ORDERS = 3
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 _LETTER: np.ndarray | None = None
 
@@ -120,6 +121,13 @@ def split_by_size(texts: list[str], limit: int = BATCH_CHARS):
         yield part
 
 
+def part_bounds(texts: pa.Array, limit: int = 1 << 21) -> list[tuple[int, int]]:
+    """Consecutive parts (first, last) of a column of texts of about `limit` bytes, or one text."""
+    size = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cut = np.flatnonzero(np.diff(size // limit)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(size)])) if len(size) else []
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schema: str, score: Callable[[list[str]], tuple[list, ...]]) -> DataFrame:
     """(id, extra..., what score returns) for each row; null texts are empty. The text may be among extra."""
     source = [id_col, *extra]
@@ -129,18 +137,21 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
     kinds = [arrow[kind] for _, kind in fields]
 
     def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column("t").to_pylist()]
-            out: list[list] | None = None
-            for part in split_by_size(texts):
-                got = score(part)
-                out = [[] for _ in got] if out is None else out
-                for o, g in zip(out, got):
-                    o.extend(g)
-            if out:
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(o, kinds[i]) for i, o in enumerate(out))], [*names, *(f"c{i}" for i in range(len(out)))])
-            del b, texts, out
-            trim()
+        for batch in batches:
+            # in parts by size, so that a batch of long texts is not held in every form at once
+            for first, last in part_bounds(batch.column("t")):
+                b = batch.slice(first, last - first)
+                out: list[list] | None = None
+                for part in split_by_size([t or "" for t in b.column("t").to_pylist()]):
+                    got = score(part)
+                    out = [[] for _ in got] if out is None else out
+                    for o, g in zip(out, got):
+                        o.extend(g)
+                if out:
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(o, kinds[i]) for i, o in enumerate(out))], [*names, *(f"c{i}" for i in range(len(out)))])
+                del b, out
+                trim()
+            del batch
 
     # columns are matched by name, so all have names of the map's own while they are in it
     inner = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, source)), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])

@@ -272,12 +272,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = Words(undeal(t.column("payload"), id_col, text_col).column(text_col).to_pylist())
         groups, _, aligned = _blocks(words, block)
         hit = (aligned & (groups.size >= 2)) | np.isin(groups.rep, _reps(found.column("payload")))
+        del _
         near = np.zeros(len(words) + 1, np.int64)
         near[1 + groups.spread(hit)] = 1
+        del groups, hit, aligned
         near = np.cumsum(near)
         at = np.flatnonzero(words.valid(window))
         at = at[near[at + window - block + 1] > near[at]]
         first, second = words.grams(window), words.grams(window, lane=1)
+        del near
+        words.forget()
         at = np.sort(Groups(first[at], at, second[at]).rep)
         return by_bucket(t.column("chunk")[0].as_py(), first[at], at, buckets, (first[at], 5), (second[at], 7))
 
@@ -290,7 +294,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = Words(rows.column(text_col).to_pylist())
         at = np.flatnonzero(words.valid(window))
         groups = Groups(words.grams(window)[at], at, words.grams(window, lane=1)[at])
+        words.forget()
         again = groups.spread((groups.size >= 2) | np.isin(groups.rep, _reps(found.column("payload"))))
+        del groups, at
         cover = np.zeros(len(words) + window + 1, np.int64)
         np.add.at(cover, again, 1)
         np.add.at(cover, again + window, -1)

@@ -225,8 +225,8 @@ class ToxicityModel:
                 self.thresholds[x] = best(mask)
 
     def __getstate__(self) -> dict:
-        self._tables()
-        return self.__dict__
+        # every process makes the answers from the embeddings, a fifth of their size
+        return {k: v for k, v in self.__dict__.items() if k not in ("answers", "fresh")}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, list[str]]]:
