@@ -132,6 +132,8 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
     """(id, extra..., what score returns) for each row; null texts are empty. The text may be among extra."""
     source = [id_col, *extra]
     names = [f"i{k}" for k in range(len(source))]
+    # the text travels once, also where it is among the rows' other columns
+    text, unread = (names[source.index(text_col)], []) if text_col in source else ("t", [F.col(f"`{text_col}`").alias("t")])
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
     kinds = [arrow[kind] for _, kind in fields]
@@ -139,10 +141,10 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
     def run(batches):
         for batch in batches:
             # in parts by size, so that a batch of long texts is not held in every form at once
-            for first, last in part_bounds(batch.column("t")):
+            for first, last in part_bounds(batch.column(text)):
                 b = batch.slice(first, last - first)
                 out: list[list] | None = None
-                for part in split_by_size([t or "" for t in b.column("t").to_pylist()]):
+                for part in split_by_size([t or "" for t in b.column(text).to_pylist()]):
                     got = score(part)
                     out = [[] for _ in got] if out is None else out
                     for o, g in zip(out, got):
@@ -155,7 +157,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, extra: list[str], schem
 
     # columns are matched by name, so all have names of the map's own while they are in it
     inner = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, source)), *(f"c{i} {kind}" for i, (_, kind) in enumerate(fields))])
-    mapped = df.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, source)), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, inner)
+    mapped = df.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, source)), *unread).mapInArrow(run, inner)
     return mapped.select(*(F.col(n).alias(c) for n, c in zip(names, source)), *(F.col(f"c{i}").alias(name) for i, (name, _) in enumerate(fields)))
 
 
