@@ -19,7 +19,8 @@ PIXELS = "list_transform(embedding, lambda x: ((floor(x * 1000)::BIGINT % 256) +
 
 
 def _pixels(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "transform(embedding, x -> CAST(pmod(CAST(floor(x * 1000) AS long), 256) AS int)) AS p")
+    """Vectors as bytes; the product is in single precision, as in the SQL: in double precision some fall below a whole number."""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "transform(embedding, x -> CAST(pmod(CAST(floor(x * 1000F) AS long), 256) AS int)) AS p")
 
 
 def _square(p) -> np.ndarray:

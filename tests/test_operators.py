@@ -407,3 +407,14 @@ def test_whole_catalogue_meets_all_files(spark, sf):
     got = [tuple(r) for r in QUERIES["j10_files_of_all_signatures"](spark, sf).select("Signature", "file").collect()]
     assert len(got) == len(want) and set(got) == want
     assert {s for s, _ in got} == signatures
+
+
+def test_bytes_of_vectors_in_single_precision(spark, tmp_path):
+    """A thousand times these numbers is a whole number in single precision, and below it in double precision."""
+    from glyphkin.plans import kernel_queries, scan_queries
+
+    path = str(tmp_path)
+    rows = spark.createDataFrame([(0, [np.float32(v).item() for v in (-0.061, 0.053, 0.072, 0.5)], 0)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{path}/embeddings.parquet")
+    for module in (scan_queries, kernel_queries):
+        assert module._pixels(spark, path).first()["p"] == [195, 53, 72, 244]
