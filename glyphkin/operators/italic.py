@@ -37,22 +37,36 @@ def complicated(stroke: Column, text: Column, threshold: Column) -> Column:
 def side_neighbours(words: DataFrame, k: int = 2, radius: float = 200, y_tolerance: float = 0.5, side_tolerance: float = 10, of: Column | None = None) -> DataFrame:
     """(doc, page, word_idx, other_idx, gap, rank): the nearest words on the same line, left or right.
 
-    Pairs are found by an equi-join on page and cells of `radius` side, each word looked up in the nine around it,
-    so a page is never joined with itself as a whole. of: which words to find neighbours for.
+    Words of one page in one place, of which there may be any number, have the same neighbours but for themselves: what
+    is paired is places, by an equi-join on page and cells of `radius` side, each place looked up in the nine around
+    it, and of the words in a place the k + 1 of the lowest numbers can be among the nearest. A page's words have
+    different numbers. of: which words to find neighbours for.
     """
-    cx, cy = (F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2
-    slim = words.select("doc", "page", "word_idx", "t", "b", "l", "r", cx.alias("cx"), cy.alias("cy"), (F.lit(True) if of is None else of).alias("asked"))
+    place = ["doc", "page", "t", "b", "l", "r"]
+    slim = words.select(*place, "word_idx", (F.lit(True) if of is None else of).alias("asked"))
+    places = slim.groupBy(*place).agg(F.bool_or("asked").alias("asked"))
+    places = places.withColumn("cx", (F.col("l") + F.col("r")) / 2).withColumn("cy", (F.col("t") + F.col("b")) / 2)
+    lowest = Window.partitionBy(*place).orderBy("word_idx")
+    members = slim.select(*place, "word_idx", F.row_number().over(lowest).alias("n")).filter(F.col("n") <= k + 1)
+    theirs = {"t": "t2", "b": "b2", "l": "l2", "r": "r2"}
+    members = members.select("doc", "page", *(F.col(c).alias(n) for c, n in theirs.items()), F.col("word_idx").alias("other_idx"))
     cell = lambda c: F.floor(F.col(c) / radius)
-    right = slim.select("doc", "page", cell("cx").alias("gx"), cell("cy").alias("gy"), F.col("word_idx").alias("other_idx"), F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("cx").alias("cx2"), F.col("cy").alias("cy2"))
+    right = places.select("doc", "page", cell("cx").alias("gx"), cell("cy").alias("gy"), *(F.col(c).alias(n) for c, n in theirs.items()), F.col("cx").alias("cx2"), F.col("cy").alias("cy2"))
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = slim.filter("asked").withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+    left = places.filter("asked").withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
     left = left.withColumn("gx", cell("cx") + F.col("dx")).withColumn("gy", cell("cy") + F.col("dy"))
     gap = F.least(F.abs(F.col("r") - F.col("l2")), F.abs(F.col("l") - F.col("r2")))
     near = (F.col("cx2") - F.col("cx")) ** 2 + (F.col("cy2") - F.col("cy")) ** 2 <= radius**2
-    rows = left.join(right, ["doc", "page", "gx", "gy"]).filter((F.col("other_idx") != F.col("word_idx")) & near & (F.abs(F.col("cy2") - F.col("cy")) < y_tolerance * (F.col("b") - F.col("t"))))
+    rows = left.join(right, ["doc", "page", "gx", "gy"]).filter(near & (F.abs(F.col("cy2") - F.col("cy")) < y_tolerance * (F.col("b") - F.col("t"))))
     rows = rows.withColumn("gap", gap).filter(F.col("gap") < side_tolerance)
-    order = Window.partitionBy("doc", "page", "word_idx").orderBy("gap", "other_idx")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc", "page", "word_idx", "other_idx", F.col("gap").cast("double").alias("gap"), "rank")
+    # one more than asked for: a word that is in reach of its own place is passed over below
+    first = Window.partitionBy(*place).orderBy("gap", "other_idx")
+    found = rows.join(members, ["doc", "page", *theirs.values()]).select(*place, "other_idx", "gap", F.row_number().over(first).alias("n")).filter(F.col("n") <= k + 1)
+    found = found.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("gap", "other_idx"))).alias("found"))
+    rows = slim.filter("asked").join(found, place)
+    others = F.slice(F.filter("found", lambda x: x["other_idx"] != F.col("word_idx")), 1, k)
+    rows = rows.select("doc", "page", "word_idx", F.posexplode(others).alias("rank", "x"))
+    return rows.select("doc", "page", "word_idx", "x.other_idx", F.col("x.gap").cast("double").alias("gap"), (F.col("rank") + 1).alias("rank"))
 
 
 def effective_strokes(words: DataFrame, doc_thresholds: DataFrame, **neighbour_options) -> DataFrame:

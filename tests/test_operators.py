@@ -418,3 +418,37 @@ def test_bytes_of_vectors_in_single_precision(spark, tmp_path):
     rows.write.parquet(f"{path}/embeddings.parquet")
     for module in (scan_queries, kernel_queries):
         assert module._pixels(spark, path).first()["p"] == [195, 53, 72, 244]
+
+
+def join_rows(df):
+    """The most rows that a join of the query's last run has given."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        own = rows.get().value() if "Join" in kind and rows.isDefined() else 0
+        children = node.children()
+        return max([own, *(walk(children.apply(i)) for i in range(children.length()))])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_neighbours_of_words_in_one_place(spark):
+    """Narrow words that reach those of their own place, 400 of each: against all pairs, without joining all pairs."""
+    rng = random.Random(5)
+    at = [(10, 30, x, x + 8) for x in (0, 14, 29)] + [(40, 60, 0, 8)]
+    rows = [("d", "p", i, *rng.choice(at)) for i in range(1600)]
+    words = spark.createDataFrame(rows, "doc string, page string, word_idx long, t int, b int, l int, r int")
+    found = italic.side_neighbours(words)
+    got = {(r["word_idx"], r["rank"]): (r["gap"], r["other_idx"]) for r in found.collect()}
+    want = {}
+    for _, _, i, t, b, left, right in rows:
+        near = sorted((min(abs(right - l2), abs(left - r2)), j) for _, _, j, t2, _, l2, r2 in rows if j != i and t2 == t and min(abs(right - l2), abs(left - r2)) < 10)
+        want |= {(i, k + 1): x for k, x in enumerate(near[:2])}
+    assert got == want
+    assert join_rows(found) < 10 * len(rows)
