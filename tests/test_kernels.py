@@ -350,3 +350,14 @@ def test_initial_clusters_of_the_operators_settings(spark, sf):
         x = principal_components(np.array([r.embedding for r in rows if r.vec_id % 2 == k], float), 0.9)
         want = set(Mixture.fit(x, 70, 200, seed=42)[1].tolist())
         assert len(got[f"d{k}"]) == len(want) > 10
+
+
+def test_alignment_makes_an_image_s_spline_once(monkeypatch):
+    from glyphkin.functions import registration
+
+    made, plain = [], registration._spline_coefficients
+    monkeypatch.setattr(registration, "_spline_coefficients", lambda x: made.append(1) or plain(x))
+    img = blob()
+    align(img, warp(img, matrix_of(np.array([-1.0, 0.5]), "translation"), fill=None), "translation")
+    # two of the image that is moved beforehand, two of the aligned one, whatever the number of steps
+    assert len(made) == 4
