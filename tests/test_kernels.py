@@ -9,6 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from glyphkin.functions import boxes, images, segment
 from glyphkin.functions.geometry import polygon_iou
+from glyphkin.functions.geometry import polygon_iou
 from glyphkin.functions.mixtures import NORMALITY, SPLIT_BELOW, Mixture, kmeans, lower_root, principal_components, shrunk
 from glyphkin.functions.registration import COUNT, align, generators, gradient, matrix_of, parameters_of, register_all, register_to, warp
 from glyphkin.operators.glyphs import leaves_of
@@ -361,3 +362,81 @@ def test_alignment_makes_an_image_s_spline_once(monkeypatch):
     align(img, warp(img, matrix_of(np.array([-1.0, 0.5]), "translation"), fill=None), "translation")
     # two of the image that is moved beforehand, two of the aligned one, whatever the number of steps
     assert len(made) == 4
+
+
+def _crowd(rng, n, width, height):
+    """Slanted boxes at random places, some of them twice."""
+    left, top, w, h = rng.integers(0, width, n), rng.integers(0, height, n), 20 + 2 * rng.integers(1, 51, n), 12 + rng.integers(1, 8, n)
+    p = np.stack([left, top, left + w, top + 2, left + w - 3, top + h, left - 3, top + h - 2], 1).astype(float)
+    p[: n // 10] = p[n // 10 : 2 * (n // 10)]
+    return p
+
+
+def _suppressed_plainly(p, scores, over, near, least):
+    """As suppress, over all pairs."""
+    order = np.argsort(scores, kind="stable")[::-1].tolist()
+    silent, kept, merged = set(), [], []
+    for k, i in enumerate(order):
+        if i in silent:
+            continue
+        later = [(j, polygon_iou(p[i], p[j])) for j in order[k + 1 :] if j not in silent]
+        close = [j for j, v in later if v > near]
+        if len(close) < least:
+            silent |= {j for j, v in later if v > over and j not in close}
+            continue
+        silent |= {j for j, v in later if v > over}
+        group = [*close, i]
+        kept.append(i)
+        merged.append(scores[group] @ p[group] / scores[group].sum())
+    return kept, merged
+
+
+@pytest.mark.parametrize(("over", "near", "least"), [(0.3, 0.2, 0), (0.15, 0.5, 1)])
+def test_suppression_in_small_parts_against_all_pairs(monkeypatch, over, near, least):
+    rng = np.random.default_rng(5)
+    p, scores = _crowd(rng, 150, 250, 60), 0.5 + rng.integers(0, 11, 150) / 20
+    want, polygons = _suppressed_plainly(p, scores, over, near, least)
+    for part, pairs in ((boxes.PART, boxes.PAIRS), (5, 40)):
+        monkeypatch.setattr(boxes, "PART", part)
+        monkeypatch.setattr(boxes, "PAIRS", pairs)
+        kept, merged, _ = boxes.suppress(p, scores, over, near, least=least)
+        assert kept == want
+        assert np.allclose(merged, polygons)
+
+
+def test_soft_suppression_in_small_parts_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    p, scores = _crowd(rng, 120, 250, 60), 0.85 + rng.integers(0, 11, 120) / 100
+    left, alive, want = scores.copy(), list(range(120)), []
+    while alive:
+        i = max(alive, key=lambda k: (left[k], -k))
+        alive.remove(i)
+        for j in alive:
+            left[j] *= np.exp(-2 * polygon_iou(p[i], p[j]) ** 2)
+        alive = [j for j in alive if left[j] >= 0.8]
+        want.append(i)
+    for part, pairs in ((boxes.PART, boxes.PAIRS), (5, 40)):
+        monkeypatch.setattr(boxes, "PART", part)
+        monkeypatch.setattr(boxes, "PAIRS", pairs)
+        assert boxes.suppress_softly(p, scores, 0.8)[0] == want
+
+
+def test_suppression_of_many_boxes_in_one_place():
+    """Pairs with boxes that are silent already are not made: 40 000 boxes in one place have 800 million."""
+    p = np.tile([0.0, 0, 40, 0, 40, 12, 0, 12], (40_000, 1))
+    kept, _, _ = boxes.suppress(p, np.linspace(0.5, 0.9, 40_000), 0.3, 0.2)
+    assert kept == [39_999]
+    assert boxes.suppress_softly(p, np.linspace(0.85, 0.9, 40_000))[0] == [39_999]
+
+
+def test_best_overlaps_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(7)
+    p, q, ids = _crowd(rng, 80, 250, 60), _crowd(rng, 150, 250, 60), rng.permutation(150)
+    want = {}
+    for i, x in enumerate(p):
+        v, w = max((round(polygon_iou(x, y), 12), -k) for y, k in zip(q, ids.tolist()))
+        if v > 0:
+            want[i] = (-w, v)
+    for pairs in (boxes.PAIRS, 40):
+        monkeypatch.setattr(boxes, "PAIRS", pairs)
+        assert {i: (w, v) for i, w, v in zip(*(x.tolist() for x in boxes.best_overlaps(p, q, ids)))} == want
