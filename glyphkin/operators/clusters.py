@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.vectors import cosine_distance, norm, std_of
+from ..functions.vectors import std_of
 from .arrays import mean_arrays
-from .distances import tiled
 
 
 def informative(img: Column, least_std: float = 0.01, background: float = 0.05, most_background: float = 0.99) -> Column:
@@ -69,24 +72,58 @@ def representatives(candidates: DataFrame, strategy: str = "median", q: float =
     median: least q-quantile of the cosine distances to the letter's candidates in other documents (none: last).
     argmin: most pairs won, where of two candidates the one of the document that comes first wins; on equal
     counts, as on equal quantiles, the smallest cluster_id.
-    Pairs are made in tiles of documents, so tasks grow in number with the documents of a letter; a candidate's
-    quantile is over one value a candidate of its letter.
+    Distances are matrix products of a strip of a letter's candidates and all of them, a bounded number at a time; no
+    pair is a row. The exact quantile looks at every pair of a letter, so this is quadratic in its candidates.
     """
     if strategy == "argmin":
         # all of a document's candidates win against the same ones, those of the documents that come later
         return candidates.groupBy("letter", "doc").agg(F.min("cluster_id").alias("cluster_id"))
     if strategy != "median":
         raise ValueError(f"no strategy {strategy!r}")
-    slim = candidates.select("letter", "doc", "cluster_id", "v", norm(F.col("v")).alias("size"))
-    a, b = (x.alias(n) for x, n in zip(tiled(slim, ["letter"]), "ab"))
-    pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("letter", "row", "col")] + [F.col("a.doc") != F.col("b.doc")])
-    d = cosine_distance(F.col("a.v"), F.col("b.v"), F.col("a.size"), F.col("b.size"))
-    d = d if digits is None else F.round(d, digits)
-    worth = pairs.select("a.letter", "a.doc", "a.cluster_id", d.alias("d")).groupBy("letter", "doc", "cluster_id").agg(F.percentile("d", F.lit(q)).alias("worth"))
-    worth = worth if digits is None else worth.withColumn("worth", F.round("worth", digits))
-    rows = slim.select("letter", "doc", "cluster_id").join(worth, ["letter", "doc", "cluster_id"], "left")
-    worst = F.coalesce("worth", F.lit(float("inf")))
-    return rows.groupBy("letter", "doc").agg(F.min(F.struct(worst.alias("w"), "cluster_id")).alias("m")).select("letter", "doc", "m.cluster_id")
+    slim = candidates.select("letter", "doc", "cluster_id", F.col("v").cast("array<double>").alias("v"))
+    # a strip of the letter's candidates is a task; it meets the letter's vectors, a number of candidates at a time
+    strips = slim.withColumn("strip", F.pmod(F.xxhash64("cluster_id"), F.lit(STRIPS)).cast("int"))
+    everyone = slim.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(STRIPS - 1))))
+    out = slim.select("letter", "doc", "cluster_id", F.lit(0.0).alias("worth")).schema
+    kinds = to_arrow_schema(out)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a):
+            return kinds.empty_table()
+        worth = _worths(a, b, q, digits)
+        return pa.table([*(a.column(c) for c in ("letter", "doc", "cluster_id")), pa.array(worth)], schema=kinds)
+
+    rows = strips.groupBy("letter", "strip").cogroup(everyone.groupBy("letter", "strip")).applyInArrow(run, out)
+    return rows.groupBy("letter", "doc").agg(F.min(F.struct(F.col("worth").alias("w"), "cluster_id")).alias("m")).select("letter", "doc", "m.cluster_id")
+
+
+#: Strips that a letter's candidates are dealt into, and distances that are held at a time.
+STRIPS, HELD = 16, 1 << 22
+
+
+def _worths(a: pa.Table, b: pa.Table, q: float, digits: int | None) -> np.ndarray:
+    """For each row of a the q-quantile of its cosine distances to the rows of b of other documents; inf for none."""
+    x, y = (pc.list_flatten(t.column("v")).to_numpy().reshape(len(t), -1) for t in (a, b))
+    docs_a, docs_b = (t.column("doc").to_numpy() for t in (a, b))
+    size_a, size_b = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+    worth = np.full(len(a), np.inf)
+    for doc in np.unique(docs_a):
+        own, others = np.flatnonzero(docs_a == doc), np.flatnonzero(docs_b != doc)
+        if not len(others):
+            continue
+        far, sizes = y[others].T, size_b[others]
+        step = max(1, HELD // len(others))
+        for i in range(0, len(own), step):
+            rows = own[i : i + step]
+            size = size_a[rows, None] * sizes
+            d = np.where(size == 0, 1.0, 1 - (x[rows] @ far) / np.where(size == 0, 1, size))
+            d = d if digits is None else np.round(d, digits)
+            # as Spark's percentile and DuckDB's quantile_cont: between the two nearest ranks
+            at = q * (len(others) - 1)
+            low, high = int(np.floor(at)), int(np.ceil(at))
+            d.partition(sorted({low, high}), axis=1)
+            worth[rows] = d[:, low] if low == high else (high - at) * d[:, low] + (at - low) * d[:, high]
+    return worth if digits is None else np.round(worth, digits)
 
 
 def largest_italic(clusters: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -452,3 +452,20 @@ def test_neighbours_of_words_in_one_place(spark):
         want |= {(i, k + 1): x for k, x in enumerate(near[:2])}
     assert got == want
     assert join_rows(found) < 10 * len(rows)
+
+
+def test_representatives_make_no_row_of_a_pair(spark):
+    """The quantile of each candidate against brute force, from a plan without a join of candidates to candidates."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    v[7] = 0
+    rows = [("ab"[i % 2], f"d{i % 5}" if i % 2 == 0 else "d0", i, v[i].tolist()) for i in range(60)]
+    found = stats.representatives(spark.createDataFrame(rows, "letter string, doc string, cluster_id long, v array<double>"), digits=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = {}
+    for letter, doc, i, x in rows:
+        far = [1.0 if not np.any(x) or not np.any(y) else 1 - np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) for other, d, _, y in rows if other == letter and d != doc]
+        worth = round(float(np.quantile(np.round(far, 6), 0.25)), 6) if far else math.inf
+        want[letter, doc] = min(want.get((letter, doc), (math.inf, math.inf)), (worth, i))
+    assert {(r.letter, r.doc): r.cluster_id for r in found.collect()} == {k: i for k, (_, i) in want.items()}
