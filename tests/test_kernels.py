@@ -353,6 +353,38 @@ def test_initial_clusters_of_the_operators_settings(spark, sf):
         assert len(got[f"d{k}"]) == len(want) > 10
 
 
+def test_mixtures_of_large_documents_are_fitted_in_blocks(spark, sf):
+    from glyphkin.operators.glyphs import initial_clusters
+    from glyphkin.plans.kernel_queries import _glyph_chars
+
+    chars = _glyph_chars(spark, sf)
+    equal = spark.range(300).selectExpr("'same' AS doc", "id AS char_id", "array_repeat(0.5F, 64) AS img")
+    few = chars.filter("doc = 'd1' AND char_id < 60").selectExpr("'few' AS doc", "char_id", "img")
+    got = {}
+    for r in initial_clusters(chars.unionByName(equal).unionByName(few), components=12, large=100).collect():
+        got.setdefault(r.doc, {})[r.char_id] = r.root
+    assert set(got["same"].values()) == {0} and len(got["same"]) == 300
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    for doc, mine in (("d0", lambda v: v % 2 == 0), ("d1", lambda v: v % 2 == 1), ("few", lambda v: v % 2 == 1 and v < 60)):
+        held = [r for r in rows if mine(r.vec_id)]
+        x = principal_components(np.array([r.embedding for r in held], float), 0.9)
+        want = Mixture.fit(x, 12, 200, seed=42)[1].tolist()
+        assert [got[doc][r.vec_id] for r in held] == want and len(set(want)) > 1
+
+
+def test_a_mixture_of_sums_is_that_of_the_points():
+    from glyphkin.operators import mixing
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 0.4, (80, 3)) for m in ((0, 0, 0), (4, 1, 0), (0, 5, 2))])
+    share = rng.dirichlet((1, 1, 1), len(x)).T
+    model = Mixture.of(x, share)
+    want, fit = model.shares(x)
+    moments = [share.sum(1), share @ x, np.stack([(x * w[:, None]).T @ x for w in share])]
+    got, total = mixing._mixture(len(x), *moments).shares(x)
+    assert np.allclose(got.T, want, atol=1e-9) and np.isclose(total, fit)
+
+
 def test_alignment_makes_an_image_s_spline_once(monkeypatch):
     from glyphkin.functions import registration
 
