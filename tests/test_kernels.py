@@ -385,6 +385,35 @@ def test_a_mixture_of_sums_is_that_of_the_points():
     assert np.allclose(got.T, want, atol=1e-9) and np.isclose(total, fit)
 
 
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_paths_of_a_stack_are_those_of_its_images(diagonal):
+    rng = np.random.default_rng(0)
+    # few levels, so many paths cost the same; some images have steps without cost
+    cost = np.concatenate([rng.integers(1, 4, (60, 9, 11)), rng.integers(0, 3, (20, 9, 11))]).astype(float)
+    starts, ends = (np.stack([rng.integers(0, 9, 80), rng.integers(0, 11, 80)], 1) for _ in range(2))
+    for got, *one in zip(segment.cheapest_paths(cost, starts, ends, diagonal), cost, starts, ends):
+        assert got.tolist() == segment.cheapest_path(one[0], tuple(one[1]), tuple(one[2]), diagonal).tolist()
+    cost[3] = np.nan
+    with pytest.raises(ValueError):
+        segment.cheapest_paths(cost, starts, np.where(starts > 0, 0, 1), diagonal)
+
+
+def test_masks_of_a_stack_are_those_of_its_words(monkeypatch):
+    rng = np.random.default_rng(1)
+    words = np.clip(rng.random((12, 16, 24)) * 1.2, 0, 1)
+    found = segment.stacked_char_masks(words, boxes := np.array([[4, 12, 2, 9], [5, 11, 13, 20]]), 7)
+    plain, tried = segment.cheapest_path, []
+    monkeypatch.setattr(segment, "cheapest_path", lambda *a, **k: tried.append(1) or plain(*a, **k))
+    for word, masks in zip(words, found):
+        want = segment.char_masks(word, boxes, 7)
+        assert [m[:2] for m in masks] == [m[:2] for m in want] and all((a[2] == b[2]).all() for a, b in zip(masks, want))
+    assert tried
+    tried.clear()
+    segment.cheapest_paths(words + 0.05, np.full((12, 2), 1), np.full((12, 2), 9), diagonal=True)
+    # the search point by point isn't used where every step costs something
+    assert not tried
+
+
 def test_alignment_makes_an_image_s_spline_once(monkeypatch):
     from glyphkin.functions import registration
 
