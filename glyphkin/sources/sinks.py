@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.images import png_bytes
 from ..schemas import DPI_COLUMNS
@@ -38,17 +38,66 @@ def write_pending(rows: DataFrame, path: str, key: list[str], by: tuple[str, ...
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def _named(c: str) -> Column:
+    """A value as part of a path, from which `_value` gives it back; empty as null, as in Spark's own partitions."""
+    return F.concat(F.lit(f"{c}="), F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(NOTHING)).otherwise(F.url_encode(F.col(c).cast("string"))))
+
+
+def _value(c: str, pattern: str) -> Column:
+    part = F.regexp_extract("path", pattern, 1)
+    return F.when(part != NOTHING, F.url_decode(part)).alias(c)
+
+
+#: Stands for null in a path, and tasks that files are dealt to for each core: a small file takes long for its bytes.
+NOTHING, DEALT = "__HIVE_DEFAULT_PARTITION__", 4
+
+
 def write_words_json(words: DataFrame, path: str) -> None:
-    """A JSON array of words for each page, below doc and page folders."""
+    """A JSON array of words for each page, a file a page below a folder a doc; what was at path before is removed."""
+    spark = words.sparkSession
     fields = [c for c in words.columns if c not in ("doc", "page", "word_idx")]
     one = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("word_idx", *fields))).alias("w"))
     cells = F.transform("w", lambda x: F.struct(*(x[c].alias(c) for c in fields)))
-    one.select("doc", "page", F.to_json(cells).alias("value")).write.mode("overwrite").partitionBy("doc", "page").text(path)
+    value = F.to_json(cells).cast("binary").alias("value")
+    named = one.select(F.concat(_named("doc"), F.lit("/"), _named("page"), F.lit(".json")).alias("name"), value)
+    if exists(words, path):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    # by tasks that write files of their own: Spark's writer commits a folder a page one after the other on the driver
+    write_files(named.repartition(DEALT * spark.sparkContext.defaultParallelism), path, "name", "value").count()
 
 
 def read_words_json(spark, path: str, fields: str) -> DataFrame:
-    """What write_words_json wrote: (doc, page, word_idx, fields)."""
-    rows = spark.read.text(path).select("doc", "page", F.from_json("value", f"array<struct<{fields}>>").alias("w"))
+    """What write_words_json wrote: (doc, page, word_idx, fields). Tasks list the folders of docs and read the files."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    n = DEALT * spark.sparkContext.defaultParallelism
+    folders = [(f.path,) for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.Directory]
+
+    def listed(batches):
+        system, _ = fs.FileSystem.from_uri(path)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                found = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".json")]
+                for i in range(0, len(found), 10_000):
+                    yield pd.DataFrame({"path": found[i : i + 10_000]})
+
+    def read(batches):
+        system, _ = fs.FileSystem.from_uri(path)
+        for pdf in batches:
+            # a bounded number of whole pages at a time
+            for i in range(0, len(pdf), 256):
+                some = pdf["path"].iloc[i : i + 256]
+                values = []
+                for p in some:
+                    with system.open_input_stream(p, compression=None) as f:
+                        values.append(f.read())
+                yield pd.DataFrame({"path": some.to_numpy(), "value": values})
+
+    files = spark.createDataFrame(folders, "path string").repartition(max(1, min(len(folders), n))).mapInPandas(listed, "path string")
+    rows = files.repartition(n).mapInPandas(read, "path string, value binary")
+    rows = rows.select(_value("doc", "/doc=([^/]*)/page=[^/]*[.]json$"), _value("page", "/page=([^/]*)[.]json$"), F.from_json(F.col("value").cast("string"), f"array<struct<{fields}>>").alias("w"))
     return rows.select("doc", "page", F.posexplode("w").alias("word_idx", "x")).select("doc", "page", "word_idx", "x.*")
 
 
@@ -107,11 +156,14 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", data: str = "p
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder)
+        made = set()
         for pdf in batches:
             done = []
             for n, d in zip(pdf[name], pdf[data]):
                 path = f"{root}/{n}"
-                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if (above := path.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with system.open_output_stream(part, compression=None) as f:
                     f.write(d)

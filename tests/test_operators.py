@@ -326,6 +326,19 @@ def test_words_json(spark, tmp_path):
     assert got[0].chars[0].labels == {"a": 0.9, "b": 0.1}
 
 
+def test_words_json_written_and_read_back(spark, tmp_path):
+    path = f"file://{tmp_path}/words"
+    rows = [("d/1 ü%", "007", 0, "a\nb"), ("d/1 ü%", "007", 1, "é\u2028\U0001f600"), ("..", "+ =", 3, None), (None, "p", 0, ""), ("d", "", 0, "x")]
+    old = spark.createDataFrame([("gone", "p", 0, "x")], "doc string, page string, word_idx int, text string")
+    sinks.write_words_json(old, path)
+    sinks.write_words_json(spark.createDataFrame(rows, old.schema), path)
+    got = sorted((tuple(r) for r in sinks.read_words_json(spark, path, "text: string").collect()), key=str)
+    want = [(d, p or None, 0 if k == 3 else k, t) for d, p, k, t in rows]
+    assert got == sorted(want, key=str)
+    # a file a page, without a folder of its own
+    assert len(list((tmp_path / "words").glob("doc=*/page=*.json"))) == 4 == sum(p.is_file() and p.suffix == ".json" for p in (tmp_path / "words").rglob("*"))
+
+
 def test_array_files(spark, tmp_path):
     (tmp_path / "d2").mkdir()
     np.savez_compressed(tmp_path / "d2" / "p_data.npz", char_imgs=np.arange(12, dtype=np.float32).reshape(2, 2, 3), char_labels=np.array(["a", "é"]), char_word_idx=np.array([0, 3], np.int32))
