@@ -20,7 +20,9 @@ PIXELS = "list_transform(embedding, lambda x: ((floor(x * 1000)::BIGINT % 256) +
 
 def _pixels(spark, sf_dir):
     """Vectors as bytes; the product is in single precision, as in the SQL: in double precision some fall below a whole number."""
-    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "transform(embedding, x -> CAST(pmod(CAST(floor(x * 1000F) AS long), 256) AS int)) AS p")
+    # dealt out, as a small file is one task and each row of it becomes a file
+    rows = table(spark, sf_dir, "embeddings").repartition(sinks.DEALT * spark.sparkContext.defaultParallelism)
+    return rows.selectExpr("vec_id", "label", "transform(embedding, x -> CAST(pmod(CAST(floor(x * 1000F) AS long), 256) AS int)) AS p")
 
 
 def _square(p) -> np.ndarray:
@@ -98,7 +100,7 @@ def p12_rescaled_pages(spark, sf_dir):
     path = _written(spark, sf_dir, lambda i: scans.tiff_bytes(i, 300), ".tif")
     out = scratch(spark)
     pages = source.read_tiff(spark, path)
-    names = pages.select("doc", "page", "name")
+    names = source.tiff_pages(spark, path)
     source.convert(pages, out, 150).write.parquet(out + "-index")
     got = files.read_pages(spark, out + "/*").withColumn("page", F.regexp_extract("page", r"(\d+)$", 1).cast("int"))
     return got.join(names, ["doc", "page"]).select(F.substring("name", 2, 20).cast("long").alias("vec_id"), "height", "width")

@@ -7,12 +7,12 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scans
 from ..functions.images import png_bytes, tiff_info
 from ..operators.documents import document_dpi
-from .files import page_of
+from .files import packed, page_of
 from .sinks import write_files
 
 #: Handlers of documents that need their own way of making a page, by name; the default takes the first image.
@@ -91,12 +91,13 @@ def read_pdf(spark: SparkSession, path: str, default: Callable[[scans.PdfPage],
                             rows.append(_failed(doc, n, f"page_{n}", e))
             yield _typed(rows)
 
-    return files.mapInPandas(run, SCAN)
+    return packed(files).mapInPandas(run, SCAN)
 
 
 def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     """The same for TIFF files: a folder is a document, its files in order of name are the pages."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").option("recursiveFileLookup", "true").load(path).select(*page_of("path"), "content")
+    found = _tiffs(spark, path)
+    files = found.select(*page_of("path"), "content")
 
     def run(batches):
         for pdf in batches:
@@ -110,10 +111,24 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((doc, None, page, info["width_px"], info["height_px"], None, None, info["dpi_width"], info["dpi_height"], 1, *img.shape, img.tobytes(), None, "OK"))
             yield _typed(rows)
 
-    rows = files.mapInPandas(run, SCAN)
-    order = rows.groupBy("doc").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    # one short name a page: a document's list is small
-    return rows.drop("page").join(order, "doc").withColumn("page", F.array_position("names", F.col("name")).cast("int") - 1).drop("names").select(*_NAMES)
+    rows = packed(files).mapInPandas(run, SCAN).drop("page")
+    return rows.join(_numbered(found), ["doc", "name"]).select(*_NAMES)
+
+
+def tiff_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, name, page) of TIFF files by their names alone, numbered as read_tiff does."""
+    return _numbered(_tiffs(spark, path))
+
+
+def _tiffs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").option("recursiveFileLookup", "true").load(path)
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """(doc, name, page): a document's names in order; files of one name share the first one's number."""
+    doc, name = page_of("path")
+    place = F.rank().over(Window.partitionBy("doc").orderBy("name"))
+    return packed(found.select(doc, name.alias("name"))).withColumn("page", (place - 1).cast("int")).distinct()
 
 
 def decoded(pages: DataFrame, folder: str) -> DataFrame:
@@ -151,8 +166,11 @@ def convert(pages: DataFrame, folder: str, target_dpi: int = 150, dpi: DataFrame
     pixels, be they damaged or of a coding that isn't read, give no file: unread(pages) lists them with their status.
     JPEG images are decoded by way of files below `_jpeg` in the folder, which Spark's readers of the folder pass over.
     """
-    pages = decoded(pages, f"{folder.rstrip('/')}/_jpeg")
-    own = document_dpi(pages).withColumnRenamed("dpi", "own")
+    # what is asked of all pages before any is written, kept so that files are read for it only once
+    slim = pages.select("doc", "dpi_width", "dpi_height", (F.col("jpeg").isNotNull() & F.col("pixels").isNull()).alias("coded")).persist()
+    if slim.filter("coded").limit(1).count():
+        pages = decoded(pages, f"{folder.rstrip('/')}/_jpeg")
+    own = document_dpi(slim).withColumnRenamed("dpi", "own")
     known = (dpi if dpi is not None else own.select("doc", F.lit(None).cast("int").alias("dpi"))).select("doc", "dpi")
     rows = pages.filter("pixels IS NOT NULL").join(own, "doc").join(known, "doc", "left").withColumn("original", F.coalesce("dpi", "own").cast("double"))
 

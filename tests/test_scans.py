@@ -266,3 +266,26 @@ def test_corpus_steps(spark, tmp_path):
     assert corpus.table("clusters").select("letter").distinct().count() == 2
     assert corpus.table("clusters").agg(F.min("share")).first()[0] >= 0.6
     assert set(corpus.run(skip_existing=True).values()) == {"skipped"}
+
+
+def test_tiff_pages_are_numbered_without_lists_of_names(spark, tmp_path):
+    from glyphkin.sources.files import packed
+
+    names = {"a": ["b.tif", "B.TIFF", "b.tiff", "10.tif", "9.tif", "c.tif"], "d": [f"{k}.tif" for k in range(700)]}
+    for doc, files in names.items():
+        (tmp_path / doc).mkdir()
+        for k, f in enumerate(files):
+            (tmp_path / doc / f).write_bytes(b"no" if f == "c.tif" else scans.tiff_bytes(np.full((2, 3), k % 256, np.uint8), 300))
+    path = f"file://{tmp_path}"
+    rows = source.read_tiff(spark, path)
+    got = sorted((r.doc, r.page, r.name, r.status) for r in rows.collect())
+    want = []
+    for doc, files in names.items():
+        order = sorted(f.rsplit(".", 1)[0] for f in files)
+        want += [(doc, order.index(f.rsplit(".", 1)[0]), f.rsplit(".", 1)[0], "ERROR: ValueError" if f == "c.tif" else "OK") for f in files]
+    assert [g[:3] for g in got] == sorted(w[:3] for w in want) and [g[3][:2] for g in got] == [w[3][:2] for w in sorted(want)]
+    assert {(r.doc, r.name, r.page) for r in source.tiff_pages(spark, path).collect()} == {(d, n, p) for d, p, n, _ in got}
+    # a document's names in each of its rows would be quadratic in its pages
+    assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = source._tiffs(spark, path)
+    assert found.rdd.getNumPartitions() > packed(found).rdd.getNumPartitions() == 16
