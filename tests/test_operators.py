@@ -339,6 +339,14 @@ def test_words_json_written_and_read_back(spark, tmp_path):
     assert len(list((tmp_path / "words").glob("doc=*/page=*.json"))) == 4 == sum(p.is_file() and p.suffix == ".json" for p in (tmp_path / "words").rglob("*"))
 
 
+def test_crops_are_computed_once_a_word(spark, sf):
+    from glyphkin.plans import QUERIES
+
+    plan = QUERIES["p8_boxes_in_crops"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # the least top and left, the largest bottom and right, each written out once and not again in a filter
+    assert plan.count("array_min(") == plan.count("array_max(") == 2 and "transform(" not in plan
+
+
 def test_array_files(spark, tmp_path):
     (tmp_path / "d2").mkdir()
     np.savez_compressed(tmp_path / "d2" / "p_data.npz", char_imgs=np.arange(12, dtype=np.float32).reshape(2, 2, 3), char_labels=np.array(["a", "é"]), char_word_idx=np.array([0, 3], np.int32))
