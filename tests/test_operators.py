@@ -347,6 +347,26 @@ def test_crops_are_computed_once_a_word(spark, sf):
     assert plan.count("array_min(") == plan.count("array_max(") == 2 and "transform(" not in plan
 
 
+def test_page_angles_without_a_row_a_pair(spark):
+    rng = random.Random(4)
+    words = [(rng.choice("pq"), rng.randrange(60), *(lambda t, l: (t, t + 20, l, l + 30))(rng.randrange(0, 300, 10), rng.randrange(0, 300, 10))) for _ in range(150)] + [("none", 1, 0, 2, 0, 2), (None, 1, 0, 2, 0, 2)]
+    windows = [(p, x, y, None if (x, y) == (150, 50) else float((x * 7 + y * 3) % 90 - 45)) for p in "pq" for x in (50, 100, 150) for y in (50, 100, 150)]
+    w = spark.createDataFrame(words, "page string, word_idx long, t int, b int, l int, r int").distinct()
+    n = spark.createDataFrame([*windows, (None, 1, 1, 1.0)], "page string, x int, y int, angle double")
+    want = {}
+    for page, idx in {r[:2] for r in words if r[0] in ("p", "q")}:
+        spots = {((l + r) / 2, (t + b) / 2) for q, k, t, b, l, r in words if (q, k) == (page, idx)}
+        pairs = [(math.hypot(x - cx, y - cy), y, x, a, x - 50 <= cx < x + 50 and y - 50 <= cy < y + 50) for cx, cy in spots for q, x, y, a in windows if q == page]
+        held = [(1 / max(d, 1), a) for d, _, _, a, inside in pairs if inside]
+        known = [a * v for v, a in held if a is not None]
+        nearest = min(pairs, key=lambda v: (round(v[0], 9), v[1], v[2]))[3]
+        want[page, idx] = (sum(known) / sum(v for v, _ in held) if known else None) if held else nearest
+    found = spatial.page_angles(w, n, ["page"], 100, 100)
+    got = {(r.page, r.word_idx): r.page_angle for r in found.collect()}
+    assert got.keys() == want.keys() and all((got[k] is None) == (v is None) and (v is None or math.isclose(got[k], v, abs_tol=1e-9)) for k, v in want.items())
+    assert None in want.values() and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_array_files(spark, tmp_path):
     (tmp_path / "d2").mkdir()
     np.savez_compressed(tmp_path / "d2" / "p_data.npz", char_imgs=np.arange(12, dtype=np.float32).reshape(2, 2, 3), char_labels=np.array(["a", "é"]), char_word_idx=np.array([0, 3], np.int32))
