@@ -367,6 +367,16 @@ def test_page_angles_without_a_row_a_pair(spark):
     assert None in want.values() and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_touching_boxes_in_flat_cells(spark):
+    rng = random.Random(5)
+    some = lambda n: [("p", k, {"t": (t := rng.randrange(-40, 200)), "b": t + rng.randrange(0, 40), "l": (le := rng.randrange(-40, 300)), "r": le + rng.randrange(0, 90)}) for k in range(n)]
+    a, b = some(60), some(50)
+    box = "struct<t: int, b: int, l: int, r: int>"
+    found = spatial.touching(spark.createDataFrame(a, f"page string, i int, a_box {box}"), spark.createDataFrame(b, f"page string, j int, b_box {box}"), ["page"], cell=50, height=8)
+    want = [(i, j) for _, i, x in a for _, j, y in b if x["l"] <= y["r"] and x["r"] >= y["l"] and x["t"] <= y["b"] and x["b"] >= y["t"]]
+    assert sorted((r.i, r.j) for r in found.collect()) == sorted(want)
+
+
 def test_array_files(spark, tmp_path):
     (tmp_path / "d2").mkdir()
     np.savez_compressed(tmp_path / "d2" / "p_data.npz", char_imgs=np.arange(12, dtype=np.float32).reshape(2, 2, 3), char_labels=np.array(["a", "é"]), char_word_idx=np.array([0, 3], np.int32))
